@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -40,37 +41,47 @@ class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        whole = Tokenizer.from_file(path)
+        self.encode, self.merge = whole.encode_batch_fast, whole.model.tokenize
+        # the model sees bytes as characters: printable ones as they are, others above 255 in order
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in printable]
+        as_char = {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(other)}
+        self.shown = {c: "".join(as_char[b] for b in chr(c).encode()) for c in range(256)}
         self.cache: dict[str, bytes] = {}
         probes = ["It's  a Test\n\tof <|endoftext|>x, 12 34\r\n café", " a ", "", "ÀÉ'LL''s.\x1c.½ÿ <|EndOfText|>", "日本 x\x85y\xa0ªº'"]
         if [x.tolist() for x in self.ids(probes)] != [e.ids for e in self.encode(probes, add_special_tokens=False)]:
             raise ValueError(f"{path}: not a tokenizer whose parts can be encoded on their own")
 
     @staticmethod
-    def cut(text: str) -> list[str]:
+    def cut(text: str) -> tuple[list[str], bool]:
+        """The parts of a text, and whether they are pre-tokens."""
         if "<|" not in text:
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
                 pass
             else:
-                return PRETOKENS(text.lower())
-        return text.replace("\n", " ").replace("\t", " ").split(" ")
+                return PRETOKENS(text.lower()), True
+        return text.replace("\n", " ").replace("\t", " ").split(" "), False
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
         cut = [self.cut(t) for t in texts]
-        found = [list(map(cache.get, words)) for words in cut]
+        found = [list(map(cache.get, words)) for words, _ in cut]
         lacking = [n for n, parts in enumerate(found) if None in parts]
-        new = list({w for n in lacking for w in cut[n]}.difference(cache))
+        for word in {w for n in lacking if cut[n][1] for w in cut[n][0]}.difference(cache):
+            own = [t.id for t in self.merge(word.translate(self.shown))]
+            cache[word] = pack_ids(f"<{len(own)}I", *own)
+        new = list({w for n in lacking if not cut[n][1] for w in cut[n][0]}.difference(cache))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for word, e in zip(part, self.encode(part, add_special_tokens=False), strict=True):
-                cache[word] = np.array(e.ids, "<u4").tobytes()
+                cache[word] = pack_ids(f"<{len(e.ids)}I", *e.ids)
         for n in lacking:
-            found[n] = list(map(cache.__getitem__, cut[n]))
+            found[n] = list(map(cache.__getitem__, cut[n][0]))
         return [np.frombuffer(b"".join(parts), "<u4") for parts in found]
 
 
