@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, packing, tokens
-from .common import load
+from . import audio, mixing, packing, pii, quality, tokens, toxicity
+from .common import held_out, load
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), path, longest=4096, with_ids=False)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = quality.learn(docs, load(spark, sf_dir, "labels"))
+    return quality.score(docs, model, 0.3).withColumn("held_out", held_out())
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, load(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, 0.5).withColumn("held_out", held_out())
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_spans(load(spark, sf_dir, "documents")))
+
+
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_roundtrip(load(spark, sf_dir, "documents"))
 
@@ -22,8 +38,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"), rate=0.5, alpha=0.7)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op8_mpeg_audio, op9_token_counts)}
+    return {f.__name__: f for f in (op2_packing, op4_quality, op6_toxicity, op7_personal_data, op8_mpeg_audio, op9_token_counts, op10_mixing)}
 
 
 #: n_bytes alone is checked in SQL elsewhere; token ids, media bytes and learned scores aren't SQL.
