@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, mixing, packing, pii, quality, tokens, toxicity
+from . import audio, mixing, neardup, packing, pii, quality, tokens, toxicity
 from .common import held_out, load
 
 
@@ -20,6 +20,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, 0.3).withColumn("held_out", held_out())
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(load(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = toxicity.learn(docs, load(spark, sf_dir, "labels"))
@@ -43,7 +47,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op4_quality, op6_toxicity, op7_personal_data, op8_mpeg_audio, op9_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op2_packing, op4_quality, op5_near_duplicates, op6_toxicity, op7_personal_data, op8_mpeg_audio, op9_token_counts, op10_mixing)}
 
 
 #: n_bytes alone is checked in SQL elsewhere; token ids, media bytes and learned scores aren't SQL.

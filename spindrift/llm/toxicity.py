@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_texts
 
+#: The curve where labels don't teach one.
+UNTAUGHT = (-5.0, 1.0, 16.0, 14.0)
 #: Labelled documents that a model is fitted on, at most (by hash of the id).
 SAMPLE = 12_000
 #: Lexicon entries and exception phrases, at most.
@@ -36,6 +38,11 @@ SHORTEST, LONGEST = 4, 9
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝѵзкмнтвγαεικνορτυχβηωσ", "aeopcyxijshdqwv3kmhtbyaeiknoptuxbnwo", strict=True))
 DIGITS = dict(zip("0134578", "oieastb", strict=True))
 SIGNS = dict(zip("@$!|", "asil", strict=True))
+#: Whole words that count at this weight before anything is learned; labels may overrule them.
+SEED, SEED_WEIGHT = (
+    "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown imbecile retard dumbass "
+    "bastard bitch asshole shithead fucker fuck shit cunt whore slut faggot nigger wanker twat vermin filth subhuman scumbag"
+).split(), 3.0
 SIGN_INSIDE = re.compile(r"(?<=[a-z])[@$!|](?=[a-z])")
 WORDS = re.compile(r"[^\W_]+").findall
 GAPS = re.compile(r"[\W_]+")
@@ -189,18 +196,20 @@ def beginnings(text: str) -> set[str]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE) -> Model:
-    """A model from at most `bound` labelled documents; without toxic ones it scores all alike."""
+    """A model from at most `bound` labelled documents; without labels of both kinds, the seed words under a set curve."""
     sample = sampled(docs, labels, label, bound).persist()
     try:
         sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
         pos, neg = sizes.get(1, 0), sizes.get(0, 0)
         if not pos or not neg:
-            return Model({}, frozenset(), tuple(fit_curve(np.zeros((pos + neg, 4)), np.array([1.0] * pos + [0.0] * neg))))
+            return Model({f" {w} ": SEED_WEIGHT for w in SEED}, frozenset(), UNTAUGHT)
         log_odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
         found = _counts(sample, beginnings, "entry").withColumn("w", log_odds)
         top = found.filter((F.col("pos") >= SUPPORT) & (F.col("w") >= math.log(LIFT)))
         rows = top.orderBy(F.col("pos").desc(), "entry").limit(ENTRIES).collect()
-        entries = prune({r["entry"]: (r["pos"], r["neg"], r["w"]) for r in rows})
+        seen = {r["entry"]: r["w"] for r in found.filter(F.col("entry").isin([f" {w} " for w in SEED])).collect()}
+        seeds = {f" {w} ": SEED_WEIGHT for w in SEED if seen.get(f" {w} ", 1.0) > 0}
+        entries = seeds | prune({r["entry"]: (r["pos"], r["neg"], r["w"]) for r in rows})
         # longer words under an entry that don't mark toxic documents override it
         stems = tuple(e for e in entries if not e.endswith(" "))
         harmless = found.filter((F.col("neg") >= SUPPORT) & (F.col("w") < math.log(LIFT) / 2) & F.col("entry").rlike(" $"))
@@ -212,7 +221,6 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
             under = under | F.substring("entry", 1, n).isin(group)
         for r in harmless.filter(under).orderBy(F.col("neg").desc(), "entry").limit(ENTRIES).collect():
             entries[r["entry"]] = 0.0
-        bare = automaton(tuple(sorted(entries.items())), frozenset())
         raw = tuple(sorted(entries.items()))
 
         def around(text: str) -> set[str]:
@@ -226,7 +234,6 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
 
         exempt = _counts(sample, around, "phrase").withColumn("w", log_odds).filter((F.col("neg") >= SUPPORT) & (F.col("w") < math.log(LIFT) / 2))
         phrases = frozenset(r["phrase"] for r in exempt.orderBy(F.col("neg").desc(), "phrase").limit(PHRASES).collect())
-        del bare
 
         def measure(batches):
             import pandas as pd
