@@ -41,7 +41,7 @@ SIGNS = dict(zip("@$!|", "asil", strict=True))
 #: Whole words that count at this weight before anything is learned; labels may overrule them.
 SEED, SEED_WEIGHT = (
     "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown imbecile retard dumbass "
-    "bastard bitch asshole shithead fucker fuck shit cunt whore slut faggot nigger wanker twat vermin filth subhuman scumbag"
+    "bastard bitch asshole shithead fucker fuck shit wanker twat vermin filth subhuman scumbag"
 ).split(), 3.0
 SIGN_INSIDE = re.compile(r"(?<=[a-z])[@$!|](?=[a-z])")
 WORDS = re.compile(r"[^\W_]+").findall
@@ -208,8 +208,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
         top = found.filter((F.col("pos") >= SUPPORT) & (F.col("w") >= math.log(LIFT)))
         rows = top.orderBy(F.col("pos").desc(), "entry").limit(ENTRIES).collect()
         seen = {r["entry"]: r["w"] for r in found.filter(F.col("entry").isin([f" {w} " for w in SEED])).collect()}
-        seeds = {f" {w} ": SEED_WEIGHT for w in SEED if seen.get(f" {w} ", 1.0) > 0}
-        entries = seeds | prune({r["entry"]: (r["pos"], r["neg"], r["w"]) for r in rows})
+        learned = prune({r["entry"]: (r["pos"], r["neg"], r["w"]) for r in rows})
+        seeds = {f" {w} ": SEED_WEIGHT for w in SEED if seen.get(f" {w} ", 1.0) > 0 and not any(f" {w} ".startswith(e) for e in learned)}
+        entries = seeds | learned
         # longer words under an entry that don't mark toxic documents override it
         stems = tuple(e for e in entries if not e.endswith(" "))
         harmless = found.filter((F.col("neg") >= SUPPORT) & (F.col("w") < math.log(LIFT) / 2) & F.col("entry").rlike(" $"))
