@@ -4,16 +4,25 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import audio, mixing, neardup, packing, pii, quality, tokens, toxicity
+from . import ann, audio, licenses, mixing, neardup, packing, pii, quality, tokens, toxicity
 from .common import held_out, load
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(load(spark, sf_dir, "documents"), path, longest=4096, with_ids=False)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = quality.learn(docs, load(spark, sf_dir, "labels"))
@@ -47,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op4_quality, op5_near_duplicates, op6_toxicity, op7_personal_data, op8_mpeg_audio, op9_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_packing, op3_licenses, op4_quality, op5_near_duplicates, op6_toxicity, op7_personal_data, op8_mpeg_audio, op9_token_counts, op10_mixing)}
 
 
 #: n_bytes alone is checked in SQL elsewhere; token ids, media bytes and learned scores aren't SQL.
