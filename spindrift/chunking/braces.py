@@ -242,7 +242,7 @@ def _script_class(path, language, t, lines, name, first, body, end, imports, lim
             i = skip(t, i) if i < end and t[i].text == "(" else i
             continue
         start = i
-        while i < end and t[i].text in MODIFIERS | {"*"} and i + 1 < end and t[i + 1].text not in ("(", "=", ":", ";", "?"):
+        while i < end and t[i].text in MODIFIERS | {"*"} and i + 1 < end and t[i + 1].text not in ("(", "=", ":", ";", "?", "<"):
             i += 1
         label = t[i].text if WORD.fullmatch(t[i].text) else "<anonymous>"
         k = skip(t, i)
@@ -331,7 +331,7 @@ def _dart_member(t: list[Token], i: int, end: int, owner: str | None) -> tuple[s
     k, name, params = i, None, False
     while k < end:
         x = t[k].text
-        if x == "get" and k + 1 < end and WORD.fullmatch(t[k + 1].text) and t[k + 2].text in ("=>", "{", "async", ";"):
+        if x == "get" and k + 2 < end and WORD.fullmatch(t[k + 1].text) and t[k + 2].text in ("=>", "{", "async", ";"):
             name, params, k = t[k + 1].text, True, k + 2
             continue
         if x == "(" and k > i and not params:

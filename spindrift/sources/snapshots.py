@@ -30,12 +30,18 @@ class Snapshots:
         self.spark, self.folder, self.timeout, self.poll = spark, folder.rstrip("/"), timeout, poll
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.folder = self._fs.makeQualified(self._path(self.folder)).toString()
+        self._fs.mkdirs(self._path(self.folder))
 
     def _read(self, name: str) -> str | None:
         at = self._path(f"{self.folder}/{name}")
         if not self._fs.exists(at):
             return None
-        return "\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/{name}").collect()).strip()
+        stream = self._fs.open(at)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        finally:
+            stream.close()
 
     def _write(self, name: str, text: str, overwrite: bool) -> None:
         out = self._fs.create(self._path(f"{self.folder}/{name}"), overwrite)
@@ -81,11 +87,12 @@ class Snapshots:
             now[name] = f"v-{stamp}/{name}"
         # the pointer is replaced by a rename, which the file system does as one step
         self._write("NEXT", "\n".join(f"{k}={v}" for k, v in now.items()), True)
-        current, following = self._path(f"{self.folder}/CURRENT"), self._path(f"{self.folder}/NEXT")
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        if not self._fs.rename(following, current):
-            raise StoreError(f"{self.folder}: the new version can't be made current")
+        jvm = self.spark._jvm
+        option = jvm.org.apache.hadoop.fs.Options.Rename
+        over = self.spark.sparkContext._gateway.new_array(option, 1)
+        over[0] = option.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        files.rename(self._path(f"{self.folder}/NEXT"), self._path(f"{self.folder}/CURRENT"), over)
 
 
 def upserted(stored: DataFrame, fresh: DataFrame, gone: DataFrame, key: str = "file_path") -> DataFrame:
