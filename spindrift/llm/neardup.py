@@ -6,9 +6,11 @@ Registers, four to a band, make the keys under which documents meet.  Documents
 compared by the share of equal registers, less what chance collisions add, and those that
 may reach the threshold are confirmed on their full shingle sets.  Links are then closed to components.
 
-Work follows the rows, not the pairs: documents with equal sets become one before banding; a
-key links its documents to its smallest one; only keys whose documents still lie in several
-components are looked into again, in blocks of bounded size.
+Work follows the rows, not the pairs: documents with equal sets become one before banding; a key
+compares its documents with its most central one, that which meets most others over all keys; only keys whose
+documents still lie in several components are looked into again, in blocks of bounded size.  There, what two documents have in common is
+bounded exactly: inside the central document's set by the smaller share of it, outside by what both add to it, so
+copies with edits of their own need no closer look.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ NUMERATOR, DENOMINATOR = 75, 100
 SLACK = 4.0
 #: Documents of one key that one task compares with as many others.
 BLOCK = 4096
+#: Distance from the central document up to which what a document adds to it is kept (beyond, registers alone decide).
+NEAR = 0.5
+#: Bits of the sieve that keeps texts without a partner from being moved.
+SIEVE = 1 << 22
 
 _LOW = np.uint64((1 << (64 - BITS)) - 1)
 _BOUNDS = np.arange(1, REGISTERS, dtype=np.uint64) << np.uint64(64 - BITS)
@@ -129,16 +135,44 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(key, node): the band keys of each node."""
+    """(key, band, node): the band keys of each node."""
 
     def run(batches):
         for batch in batches:
             keys = [band_keys(np.frombuffer(r, np.uint16)) for r in batch.column(1).to_pylist()]
             if keys:
-                node = np.repeat(batch.column(0).to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node)], names=["key", "node"])
+                node, band = np.repeat(batch.column(0).to_numpy(), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(band), pa.array(node)], names=["key", "band", "node"])
 
-    return nodes.select("node", "registers").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "registers").mapInArrow(run, "key long, band int, node long")
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """(key, band, node, head) for the keys of two nodes or more; head is the key's most central node.
+
+    Central is what shares its keys with most others; ties go to the smaller node.  Near copies of one text differ from each other more
+    than from the text itself, which therefore meets most of them.
+    """
+    bands = _bands(nodes)
+    sizes = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = written(bands.join(sizes, "key"))
+    central = shared.groupBy("node").agg(F.sum("size").alias("met"))
+    heads = shared.select("key", "node").join(central, "node").groupBy("key").agg(F.max(F.struct(F.col("met"), (-F.col("node")).alias("turned"))).alias("top"))
+    return written(shared.join(heads, "key").select("key", "band", "node", (-F.col("top.turned")).alias("head")))
+
+
+def sieved(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """rows whose column may be among the ids (one long column): a semi join that moves no row, with some others left in.
+
+    Ids mark bits of a table of SIEVE / 64 words at most, which is what goes to every task however many ids there are.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    slot = bit(F.col(ids.columns[0]))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    words = ids.groupBy(F.floor(slot / 64).alias("_word")).agg(F.bit_or(one).alias("_mask"))
+    marked = rows.withColumn("_bit", bit(F.col(column))).withColumn("_word", F.floor(F.col("_bit") / 64))
+    kept = marked.join(F.broadcast(words), "_word").filter(F.getbit("_mask", (F.col("_bit") % 64).cast("int")) == 1)
+    return kept.select(*rows.columns)
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -160,59 +194,85 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, link) for the pairs: whether the full sets of their texts reach the threshold.
+    """(a, b, distance, link, added) for the pairs: Jaccard distance of their full sets, whether it makes a link, and a's hashes that b lacks.
 
-    Texts move by id once for both sides; then those of a pair meet at b, whose set is made once in a run of its pairs.
+    Only texts that the sieve lets through move, by id and once for both sides; then those of a pair meet at b, whose
+    set is made once in a run of its pairs.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    texts = sieved(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), "id", ends)
     left = pairs.join(texts, pairs["a"] == texts["id"]).select("a", "b", F.col("text").alias("text_a"))
     right = pairs.select("b").distinct().join(texts, F.col("b") == F.col("id")).select("b", F.col("text").alias("text_b"))
 
     def run(batches):
         last, own = None, None
         for batch in batches:
-            links = []
+            distances, links, added = [], [], []
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for x, y in zip(a, b, strict=True):
                 if y != last:
                     last, own = y, shingles(y or "")
                 other = shingles(x or "")
                 common = len(np.intersect1d(own, other, assume_unique=True))
-                links.append(bool(common) and DENOMINATOR * common >= NUMERATOR * (len(own) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(links, pa.bool_())], names=["a", "b", "link"])
+                union = len(own) + len(other) - common
+                distances.append(1 - common / max(1, union))
+                added.append(np.setdiff1d(other, own, assume_unique=True).tobytes() if distances[-1] <= NEAR else None)
+                links.append(bool(common) and DENOMINATOR * common >= NUMERATOR * union)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distances), pa.array(links, pa.bool_()), pa.array(added, pa.binary())], names=["a", "b", "distance", "link", "added"])
 
-    return left.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, link boolean")
+    return left.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, distance double, link boolean, added binary")
 
 
-def _crossing(bands: DataFrame, nodes: DataFrame, labels: DataFrame, every: bool) -> DataFrame:
+def _crossing(met: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame, every: bool) -> DataFrame:
     """Pairs (a, b) that share a key, lie in two components and may be links.
 
-    Keys with one component are done.  Documents of the others are dealt to blocks and each pair of
-    blocks is compared by registers in one task.  Unless every pair is asked for, a pair is left out when pairs
-    that look safer already tie its components; the caller asks again once these are confirmed or not.
+    Keys with one component are done.  Documents of the others are dealt to blocks, and each pair of blocks is
+    compared in one task: by sizes and distances from the head, then by registers, then by what both add to the
+    head; of the keys that a pair shares, the first alone counts.  Unless every pair is asked for, a pair is left out when pairs that look
+    safer already tie its components; the caller asks again once these are confirmed or not.
     """
-    placed = bands.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("n > 2 and low < high")
-    open_keys = open_keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_keys = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("size > 2 and low < high")
+    open_keys = open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(open_keys, "key")
+    known = tested.select(F.col("a").alias("node"), F.col("b").alias("head"), "distance", "added")
+    rows = rows.join(known, ["node", "head"], "left").withColumn("distance", F.when(F.col("node") == F.col("head"), 0.0).otherwise(F.col("distance")))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # each document goes to every pair of blocks that holds its own
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(nodes.select("node", F.col("n").alias("n"), "registers"), "node")
+    rows = rows.select("key", "band", "node", "component", "distance", "added", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.join(nodes.select("node", "n", "registers"), "node")
 
     def compare(pdf):
         import pandas as pd
 
-        left, right = pdf[pdf["own"] == pdf["i"]], pdf[pdf["own"] == pdf["j"]]
-        r = np.frombuffer(b"".join(right["registers"]), np.uint16).reshape(-1, REGISTERS)
-        rn, rc, rid = (right[c].to_numpy() for c in ("n", "component", "node"))
+        within = pdf["i"].iat[0] == pdf["j"].iat[0]
+        band, far = pdf["band"].iat[0], 1 - NUMERATOR / DENOMINATOR + 1e-9
+        regs = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(-1, REGISTERS)
+        keys = np.stack([filled(r).view(np.uint64) for r in regs])
+        size, part, node, away = (pdf[c].to_numpy() for c in ("n", "component", "node", "distance"))
+        added = [None if x is None else frozenset(np.frombuffer(x, np.uint64).tolist()) for x in pdf["added"]]
+        left = np.flatnonzero(pdf["own"].to_numpy() == pdf["i"].iat[0])
+        right = left if within else np.flatnonzero(pdf["own"].to_numpy() == pdf["j"].iat[0])
         found = []
-        for reg, n, c, node in zip(left["registers"], left["n"], left["component"], left["node"], strict=True):
-            may = np.flatnonzero((rc != c) & (rid > node if left is right or pdf["i"].iat[0] == pdf["j"].iat[0] else rid != node))
-            if len(may):
-                value, least = estimate(r[may], np.frombuffer(reg, np.uint16)[None, :], rn[may], np.full(len(may), n))
-                ok = (value >= least) & (DENOMINATOR * np.minimum(rn[may], n) >= NUMERATOR * np.maximum(rn[may], n))
-                found += [(v, node, rid[k], c, rc[k]) for v, k in zip(value[ok], may[ok], strict=True)]
+        for k in left:
+            apart = np.abs(away[right] - away[k])
+            sizes = DENOMINATOR * np.minimum(size[right], size[k]) >= NUMERATOR * np.maximum(size[right], size[k])
+            may = right[(part[right] != part[k]) & sizes & ~(apart > far) & ((node[right] > node[k]) | (not within))]
+            if not len(may):
+                continue
+            same = keys[may] == keys[k]
+            may = may[(same.argmax(1) == band) & same[:, band]]
+            if not len(may):
+                continue
+            value, least = estimate(regs[may], regs[k][None, :], size[may], np.full(len(may), size[k]))
+            ok = value >= least
+            for v, m in zip(value[ok], may[ok], strict=True):
+                if added[k] is not None and added[m] is not None:
+                    most = min(size[k] - len(added[k]), size[m] - len(added[m])) + len(added[k] & added[m])
+                    if DENOMINATOR * most < NUMERATOR * (size[k] + size[m] - most):
+                        continue
+                found.append((v, max(node[k], node[m]), min(node[k], node[m]), part[k], part[m]))
         root: dict[int, int] = {}
 
         def top(x):
@@ -225,12 +285,14 @@ def _crossing(bands: DataFrame, nodes: DataFrame, labels: DataFrame, every: bool
         for v, a, b, ca, cb in sorted(found, reverse=True):
             x, y = top(ca), top(cb)
             if every or x != y:
-                out.append((max(a, b), min(a, b)))
+                out.append((a, b))
                 if v >= NUMERATOR / DENOMINATOR:
                     root[x] = y
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    found = rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    both = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return found.join(both, ["a", "b"], "left_anti")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -245,16 +307,12 @@ def link(docs: DataFrame) -> DataFrame:
     own = sketches.filter("n_shingles > 0 and doc_id is not null")
     nodes = own.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     nodes = written(nodes)
-    bands = _bands(nodes)
-    heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    met = written(bands.join(heads, "key"))
+    met = _met(nodes)
     pairs = met.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     tested = written(_confirmed(written(_estimated(pairs, nodes)), docs))
     labels = written(components(tested.filter("link")))
-    shared = met.select("key", "node")
     for every in (False, True):
-        more = _crossing(shared, nodes, labels, every).join(tested, ["a", "b"], "left_anti")
-        more = written(more)
+        more = written(_crossing(met, nodes, labels, tested, every))
         if more.isEmpty():
             break
         found = written(_confirmed(more, docs))
