@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Texts and word tables of a worker are bounded by this many entries; a full table is emptied, never trusted to fit.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
