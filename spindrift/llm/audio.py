@@ -150,24 +150,25 @@ def _tag(data: bytes, scan: Scan) -> int:
 def scan_mpeg(data: bytes) -> Scan:
     """Frames, tags and tables of MPEG audio bytes; foreign bytes are skipped and counted."""
     scan = Scan()
-    at = start = _tag(data, scan)
+    at = _tag(data, scan)
     end = len(data)
     if data[-128:-125] == b"TAG":
         end -= 128
         scan.tags["ID3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
-    synced = False
     while at + 4 <= end:
         found = header(data[at : at + 4])
-        if found and not synced:  # a lone match is no sync: what follows must be a frame of the kind, or the end
-            after = header(data[at + found[5] : at + found[5] + 4])
-            synced = at + found[5] == end or bool(after and after[:2] == found[:2] and after[4] == found[4])
-        if not found or not synced or at + found[5] > end:
+        if found:
+            _, layer, protected, kbit, hz, length, samples, side, _ = found
+            body = at + 4 + 2 * protected + side
+            good = protected and side and int.from_bytes(data[at + 4 : at + 6], "big") == crc16(data[at + 2 : at + 4] + data[at + 6 : body])
+            after = header(data[at + length : at + length + 4])
+            # four bytes that look like a header are none unless the checksum holds or a frame of the kind, or the end, follows
+            found = at + length <= end and (good or at + length == end or bool(after and after[1] == layer and after[4] == hz))
+        if not found:
             nxt = data.find(b"\xff", at + 1, end)
             scan.skipped += (nxt if nxt >= 0 else end) - at
-            at, synced = (nxt if nxt >= 0 else end), False
+            at = nxt if nxt >= 0 else end
             continue
-        _, _, protected, kbit, hz, length, samples, side, _ = found
-        body = at + 4 + 2 * protected + side
         mark = data[body : body + 4] if not scan.frames else b""
         vbri = data[at + 36 : at + 40] if not scan.frames else b""
         if mark in (b"Xing", b"Info"):
@@ -185,7 +186,6 @@ def scan_mpeg(data: bytes) -> Scan:
             scan.vbr_frames = int.from_bytes(data[at + 50 : at + 54], "big")
         else:
             if protected and side:
-                good = int.from_bytes(data[at + 4 : at + 6], "big") == crc16(data[at + 2 : at + 4] + data[at + 6 : body])
                 scan.crc_ok += good
                 scan.crc_bad += not good
             scan.frames += 1
@@ -196,7 +196,6 @@ def scan_mpeg(data: bytes) -> Scan:
             scan.offsets.append(at)
         at += length
     scan.skipped += max(0, end - at)
-    del start
     if scan.hz:
         scan.seconds = round(scan.seconds, 9)
     return scan
