@@ -18,7 +18,7 @@ from .common import map_texts
 from .toxicity import sampled
 
 #: Labelled documents that a model is fitted on, at most (by hash of the id).
-SAMPLE = 8_000
+SAMPLE = 6_000
 BUCKETS = 1 << 15
 DIMENSION = 12
 EPOCHS, BATCH, RATE = 12, 64, 0.6
@@ -117,6 +117,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
 
     rows = map_texts(sample, make, "doc_id long, slots binary, shares binary, label int", "label").toArrow()
     got = sorted(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "slots", "shares", "label")), strict=True), key=lambda r: r[0])
+    del rows
     return train([(np.frombuffer(s, "<u2").astype(np.int64), np.frombuffer(w, "<f4"), y) for _, s, w, y in got])
 
 
