@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts
+from .common import held_out, map_texts, written
 
 #: The curve where labels don't teach one.
 UNTAUGHT = (-5.0, 1.0, 16.0, 14.0)
@@ -204,7 +204,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
         if not pos or not neg:
             return Model({f" {w} ": SEED_WEIGHT for w in SEED}, frozenset(), UNTAUGHT)
         log_odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
-        found = _counts(sample, beginnings, "entry").withColumn("w", log_odds)
+        often = _counts(sample, beginnings, "entry").filter((F.col("pos") >= SUPPORT) | (F.col("neg") >= SUPPORT) | F.col("entry").isin([f" {w} " for w in SEED]))
+        found = written(often).withColumn("w", log_odds)
         top = found.filter((F.col("pos") >= SUPPORT) & (F.col("w") >= math.log(LIFT)))
         rows = top.orderBy(F.col("pos").desc(), "entry").limit(ENTRIES).collect()
         seen = {r["entry"]: r["w"] for r in found.filter(F.col("entry").isin([f" {w} " for w in SEED])).collect()}
