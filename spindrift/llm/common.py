@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Texts and word tables of a worker are bounded by this many entries; a full table is emptied, never trusted to fit.
-CACHE_ENTRIES = 500_000
+from ..shared import drop_written, shared_folder, written
+from ..sources.tables import load
 
+__all__ = ["CACHE_ENTRIES", "drop_written", "held_out", "load", "map_texts", "shared_folder", "slices", "written"]
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the data folder, by Spark's own reader (the store may be one only Spark opens)."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+#: Texts and word tables of a worker are bounded by this many entries; a full table is emptied, never trusted to fit.
+CACHE_ENTRIES = 500_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -26,45 +23,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spindrift-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def drop_written() -> None:
-    """Delete every table that written() has left in the shared folder; for when no result reads them any more."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session is gone already; the folder's owner clears it
-            return
-
-
-atexit.register(drop_written)
-
-
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
-
-    The files survive lost executors, and unlike checkpoint() they are columnar and compressed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/spindrift-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_texts(
     docs: DataFrame,
     make: Callable[[], Callable[[list, list[str]], dict[str, object]]],
