@@ -59,8 +59,26 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_nearest_neighbours, op2_packing, op3_licenses, op4_quality, op5_near_duplicates, op6_toxicity, op7_personal_data, op8_mpeg_audio, op9_token_counts, op10_mixing)}
 
 
-#: n_bytes alone is checked in SQL elsewhere; token ids, media bytes and learned scores aren't SQL.
-ORACLES: dict[str, str] = {}
+#: Token ids, media bytes, learned scores, template automata and hashed draws aren't SQL; DuckDB's expressions have no
+#: lookarounds, which spans of personal data need; nearest neighbours are approximate. Those are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op5_near_duplicates": r"""
+WITH RECURSIVE words AS (
+  SELECT DISTINCT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, m.n, n.n HAVING 100 * count(*) >= 75 * (m.n + n.n - count(*))),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.y, d.doc_id)) AS component_id, d.doc_id <= coalesce(l.y, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN least l ON l.x = d.doc_id""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
