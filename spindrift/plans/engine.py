@@ -6,6 +6,7 @@ Searches take one query or a batch; all queries of a batch share one plan.
 from __future__ import annotations
 
 import json
+import os
 import time
 from collections.abc import Callable
 from pathlib import Path
@@ -21,7 +22,7 @@ from ..functions import text
 from ..operators import expansion, lookups, ranking, reporting, retrieval
 from ..schema import EMBEDDED, FILES, QUERY_LOG
 from ..shared import written
-from ..sources.repo import read_repository
+from ..sources.repo import find_root, read_repository
 from ..sources.snapshots import Snapshots, index_folder, upserted
 
 #: Lines of a chunk that a search and a file listing show.
@@ -34,6 +35,21 @@ class Engine:
         self.provider = provider or embedding.create(self.config)
         self.store = Snapshots(spark, index_folder(base, self.repository))
 
+    @classmethod
+    def from_environment(cls, spark: SparkSession, base: str, config_path: str | None = None) -> Engine:
+        """The repository that CTS_REPO_PATH names, or else the one around the working folder, under the settings in force."""
+        return cls(spark, os.environ.get("CTS_REPO_PATH") or str(find_root(Path.cwd())), base, Config.load(config_path))
+
+    def _k(self, top_k) -> int:
+        """A stated number of results, or the configured one."""
+        try:
+            k = self.config.top_k if top_k is None else int(top_k)
+        except (TypeError, ValueError) as e:
+            raise EngineError(f"top_k must be a number, not {top_k!r}") from e
+        if k < 1:
+            raise EngineError("top_k must be at least 1")
+        return k
+
     # indexing
 
     def live(self) -> DataFrame:
@@ -131,7 +147,8 @@ class Engine:
 
     def search_semantic(self, query: str | list[str], top_k: int | None = None, extension: str | None = None, prefix: str | None = None) -> DataFrame:
         """By meaning. Queries with technical terms are asked in both wordings and fused; others pass the threshold and type boosts."""
-        k, chunks, queries = top_k or self.config.top_k, self.chunks(extension, prefix), self._queries(query)
+        self._ready()
+        k, chunks, queries = self._k(top_k), self.chunks(extension, prefix), self._queries(query)
         queries = written(queries.withColumn("technical", text.technical_query(F.col("query"))))
         first = written(retrieval.vector_top_k(chunks, self._vectors(queries, "query"), 2 * k))
         both = queries.filter("technical is not null")
@@ -144,14 +161,16 @@ class Engine:
 
     def search_exact(self, query: str | list[str], top_k: int | None = None, extension: str | None = None, prefix: str | None = None) -> DataFrame:
         """By words of content, name and path; classes first. Nothing is expanded."""
-        k, chunks = top_k or self.config.top_k, self.chunks(extension, prefix)
+        self._ready()
+        k, chunks = self._k(top_k), self.chunks(extension, prefix)
         found = self._fts(self._queries(query), chunks, k)
         names = ("chunk_id", "file_path", "dir", "name", "chunk_type", "language")
         return ranking.by_type(found.join(chunks.select(*names), "chunk_id"))
 
     def search_hybrid(self, query: str | list[str], top_k: int | None = None, extension: str | None = None, prefix: str | None = None) -> DataFrame:
         """Meaning and words fused, then expanded and reranked."""
-        k, chunks = top_k or self.config.top_k, self.chunks(extension, prefix)
+        self._ready()
+        k, chunks = self._k(top_k), self.chunks(extension, prefix)
         queries = written(self._queries(query).withColumn("technical", text.technical_query(F.col("query"))))
         first = written(retrieval.vector_top_k(chunks, self._vectors(queries, "query"), 2 * k))
         both = queries.filter("technical is not null")
@@ -163,7 +182,8 @@ class Engine:
 
     def audit_search(self, query: str | list[str], top_k: int = 10) -> DataFrame:
         """What both searches find, and each alone."""
-        chunks, queries = self.chunks(), self._queries(query)
+        self._ready()
+        top_k, chunks, queries = self._k(top_k), self.chunks(), self._queries(query)
         own = chunks.select("chunk_id", "file_path", "name")
         semantic = retrieval.vector_top_k(chunks, self._vectors(queries, "query"), top_k).join(own, "chunk_id")
         return reporting.audit(semantic, self._fts(queries, chunks, top_k).join(own, "chunk_id"))

@@ -132,3 +132,28 @@ def test_providers(monkeypatch):
     with pytest.raises(ProviderError):
         embedding.create(Config(embedding_provider="none"))
     assert "error" in as_response(ProviderError("x")) and "suggestion" in as_response(ProviderError("x"))
+
+
+def test_golden_set(spark, repo, tmp_path, monkeypatch):
+    from spindrift.operators import evaluation
+    from spindrift.plans import golden
+
+    monkeypatch.setenv("CTS_REPO_PATH", str(repo))
+    engine = Engine.from_environment(spark, str(tmp_path / "home"))
+    found = [{"file": "src/billing.py", "name": "charge", "relevance": 3}]
+    one = {"id": "a", "category": "exact_name", "difficulty": "easy", "query": "charge", "expected_results": found, "coverage_dirs": ["src"]}
+    each, report, took = golden.run_golden(engine, golden.load_golden({"queries": [one, one | {"id": "b", "query": "validate card"}]}), 5, ("exact",))
+    rows = {r["id"]: r for r in each.collect()}
+    assert rows["a"]["mrr"] > 0 and rows["a"]["recall"] == 1.0 and rows["a"]["coverage"] == 1.0 and rows["a"]["ter"] > 0
+    assert {(r["method"], r["category"], r["difficulty"]) for r in report.collect()} == {("exact", None, None), ("exact", "exact_name", None), ("exact", None, "easy")}
+    assert set(took) == {"exact"}
+    golden.save_baseline(each, tmp_path / "base", "1")
+    golden.save_baseline(each, tmp_path / "base", "2")
+    assert (tmp_path / "base" / "archive" / "1.json").exists()
+    gate = evaluation.regressions(golden.by_metric(each), golden.load_baseline(spark, tmp_path / "base"))
+    assert gate.count() == 7 and gate.filter("failed").count() == 0
+    with pytest.raises(EngineError, match="top_k"):
+        engine.search_exact("x", top_k="many")
+    for bad in ({}, {"queries": [{"id": "a"}]}, {"queries": [one, one]}, {"queries": [one | {"difficulty": "odd"}]}):
+        with pytest.raises(ConfigError):
+            golden.load_golden(bad)
