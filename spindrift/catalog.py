@@ -421,6 +421,41 @@ def cumulative_metrics(spark, sf_dir):
     return reporting.cumulative(load(spark, sf_dir, "events").select(F.floor("value").cast("long").alias("saved"), F.col("ts").alias("queried_at")))
 
 
+@query(
+    """SELECT event_id, user_id, floor(value)::BIGINT AS saved, (sum(floor(value)::BIGINT) OVER w)::BIGINT AS saved_so_far, count(*) OVER w AS queries_so_far
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
+)
+def running_savings(spark, sf_dir):
+    """What each user had saved and asked up to each event."""
+    log = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.floor("value").cast("long").alias("saved"))
+    return reporting.running(log, ["ts", "event_id"]).drop("ts")
+
+
+@query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, sum(floor(value)::BIGINT)::BIGINT AS saved, count(*) AS queries FROM events GROUP BY 1")
+def savings_by_window(spark, sf_dir):
+    """Savings by ten minutes of event time, by the operator that also runs on a stream."""
+    from .streaming.increments import savings_by_window as by_window
+
+    return by_window(load(spark, sf_dir, "events").select(F.col("ts").alias("queried_at"), F.floor("value").cast("long").alias("saved")))
+
+
+@query(f"WITH {_CHUNKS} SELECT dir, language, file_path, name, chunk_type, line_start_ AS line_start FROM (SELECT *, 1 AS line_start_ FROM chunks) WHERE starts_with(file_path, 'src7/') ORDER BY file_path, line_start LIMIT 50")
+def directory_chunks(spark, sf_dir):
+    """The first chunks below a directory; fifty is the lookup's own limit."""
+    from .operators.lookups import by_directory
+
+    return by_directory(chunks(spark, sf_dir), "src7").select("dir", "language", "file_path", "name", "chunk_type", "line_start")
+
+
+@query(f"WITH {_VERSIONS} SELECT file_path, min(file_hash) AS file_hash FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY file_path")
+def file_hashes(spark, sf_dir):
+    """One hash for each path of two states of a tree."""
+    from .operators.lookups import file_hashes as by_path
+
+    old, new = _versions(spark, sf_dir)
+    return by_path(old.unionByName(new))
+
+
 _GRADED = """
 exp AS (SELECT q.vec_id AS qid, c.vec_id AS item, 2 + (c.vec_id % 2)::INT AS grade FROM embeddings q JOIN embeddings c ON c.label = q.label WHERE q.label = 0 AND c.vec_id <> q.vec_id),
 g AS (SELECT v.qid, v.rank, coalesce(grade, 0) AS grade FROM vec v LEFT JOIN exp ON exp.qid = v.qid AND exp.item = v.chunk_id),
