@@ -12,10 +12,39 @@ from pyspark.sql.types import StructType
 from ..shared import drop_written, shared_folder, written
 from ..sources.tables import load
 
-__all__ = ["CACHE_ENTRIES", "drop_written", "held_out", "load", "map_texts", "shared_folder", "slices", "written"]
+__all__ = ["CACHE_ENTRIES", "WordMemory", "drop_written", "held_out", "load", "map_texts", "shared_folder", "slices", "written"]
 
-#: Texts and word tables of a worker are bounded by this many entries; a full table is emptied, never trusted to fit.
-CACHE_ENTRIES = 500_000
+#: Words that a worker remembers, at most; a full table is emptied.
+CACHE_ENTRIES = 200_000
+
+
+class WordMemory(dict):
+    """Values of words over batches, within bounds: a word stays once two batches have held it.
+
+    Most distinct words of a corpus come once; they pass through `fresh` and are dropped with it.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: dict = {}
+
+    def __missing__(self, word):
+        return self.fresh[word]
+
+    def begin(self) -> None:
+        """Before a batch: empty what is full."""
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        if len(self.fresh) > CACHE_ENTRIES // 4:
+            self.fresh = {}
+
+    def learn(self, words: set, values: Callable[[list], list]) -> None:
+        """Make sure that every word has a value."""
+        words = words.difference(self)
+        for word in words & self.fresh.keys():
+            self[word] = self.fresh.pop(word)
+        new = [w for w in words if w not in self]
+        self.fresh.update(zip(new, values(new), strict=True))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -60,7 +89,7 @@ def map_texts(
     return frame.mapInArrow(run, fields)
 
 
-def slices(batch: pa.RecordBatch, most: int = 8_000_000):
+def slices(batch: pa.RecordBatch, most: int = 6_000_000):
     """Parts of a batch of about `most` bytes each (one row at least)."""
     rows = max(1, min(batch.num_rows, int(batch.num_rows * most / max(1, batch.nbytes))))
     for at in range(0, batch.num_rows, rows):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, map_texts
+from .common import WordMemory, map_texts
 
 #: The id that ends each document.
 END = 2
@@ -48,7 +48,7 @@ class ChunkEncoder:
         other = [b for b in range(256) if b not in printable]
         as_char = {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(other)}
         self.shown = {c: "".join(as_char[b] for b in chr(c).encode()) for c in range(256)}
-        self.cache: dict[str, bytes] = {}
+        self.cache = WordMemory()
         probes = ["It's  a Test\n\tof <|endoftext|>x, 12 34\r\n café", " a ", "", "ÀÉ'LL''s.\x1c.½ÿ <|EndOfText|>", "日本 x\x85y\xa0ªº'"]
         if [x.tolist() for x in self.ids(probes)] != [e.ids for e in self.encode(probes, add_special_tokens=False)]:
             raise ValueError(f"{path}: not a tokenizer whose parts can be encoded on their own")
@@ -65,21 +65,28 @@ class ChunkEncoder:
                 return PRETOKENS(text.lower()), True
         return text.replace("\n", " ").replace("\t", " ").split(" "), False
 
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, by the tokenizer's model alone."""
+        out = []
+        for word in words:
+            own = [t.id for t in self.merge(word.translate(self.shown))]
+            out.append(pack_ids(f"<{len(own)}I", *own))
+        return out
+
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(chunks), 20_000):
+            out += [pack_ids(f"<{len(e.ids)}I", *e.ids) for e in self.encode(chunks[at : at + 20_000], add_special_tokens=False)]
+        return out
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
+        cache.begin()
         cut = [self.cut(t) for t in texts]
         found = [list(map(cache.get, words)) for words, _ in cut]
         lacking = [n for n, parts in enumerate(found) if None in parts]
-        for word in {w for n in lacking if cut[n][1] for w in cut[n][0]}.difference(cache):
-            own = [t.id for t in self.merge(word.translate(self.shown))]
-            cache[word] = pack_ids(f"<{len(own)}I", *own)
-        new = list({w for n in lacking if not cut[n][1] for w in cut[n][0]}.difference(cache))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, e in zip(part, self.encode(part, add_special_tokens=False), strict=True):
-                cache[word] = pack_ids(f"<{len(e.ids)}I", *e.ids)
+        cache.learn({w for n in lacking if cut[n][1] for w in cut[n][0]}, self._merged)
+        cache.learn({w for n in lacking if not cut[n][1] for w in cut[n][0]}, self._encoded)
         for n in lacking:
             found[n] = list(map(cache.__getitem__, cut[n][0]))
         return [np.frombuffer(b"".join(parts), "<u4") for parts in found]

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import CACHE_ENTRIES, map_texts
+from .common import WordMemory, map_texts
 
 SPACE = "▁"
 #: Sequences above this many symbols (base64 runs and the like) take a heap instead of rounds: same merges, n log n steps.
@@ -62,11 +62,11 @@ class PieceCounter:
             raise ValueError("a piece holds a space after another character; pre-tokens can't be cut at spaces")
         lines = not any("\n" in p for p, _ in known)
         self.split = re.compile(r" +[^ \n]*|[^ \n]+|\n+" if lines else r" +[^ ]*|[^ ]+").findall
-        self.cache: dict[str, int] = {}
+        self.cache = WordMemory()
         probes = ["", " ", "a  b", "  x\n\n y ", "<s>hi</s>", "über ﬁ ① 日本\U0001f600", "1234 ## aaaaaaa\t\r\n", " x​y"]
         if [self.count(t) for t in probes] != [len(x) for x in lib.encode(probes, num_threads=1)]:
             raise ValueError(f"{path}: its normalisation or symbols are not of the kind that this counter follows")
-        self.cache.clear()
+        self.cache = WordMemory()
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE where the pair makes no piece) and made piece of each pair."""
@@ -168,15 +168,15 @@ class PieceCounter:
 
     def count_texts(self, texts: list[str]) -> list[int]:
         """Pieces of each text."""
-        cut = [self.cut(t) for t in texts]
         cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        fresh = {w for words in cut for w in words if w not in cache}
-        if fresh:
-            new = list(fresh)
-            cache.update(zip(new, self.count_words(new).tolist(), strict=True))
-        return [sum(map(cache.__getitem__, words)) for words in cut]
+        cache.begin()
+        cut = [self.cut(t) for t in texts]
+        found = [list(map(cache.get, words)) for words in cut]
+        lacking = [n for n, parts in enumerate(found) if None in parts]
+        cache.learn({w for n in lacking for w in cut[n]}, lambda new: self.count_words(new).tolist())
+        for n in lacking:
+            found[n] = map(cache.__getitem__, cut[n])
+        return [sum(parts) for parts in found]
 
     def count(self, text: str) -> int:
         return self.count_texts([text])[0]

@@ -31,6 +31,8 @@ SAMPLE = 12_000
 ENTRIES, PHRASES = 4_000, 2_000
 #: Toxic documents of the sample that must hold an entry, and by how much more often they must hold it.
 SUPPORT, LIFT = 6, 4.0
+#: Candidates that a task holds before it hands them on.
+HELD = 150_000
 #: Word beginnings of these lengths are candidates, next to whole words.
 SHORTEST, LONGEST = 4, 9
 
@@ -164,20 +166,26 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataF
 
 
 def _counts(sample: DataFrame, keys_of, name: str) -> DataFrame:
-    """(key, label, documents): each task adds up its documents' distinct keys first."""
+    """(key, pos, neg): each task adds up its documents' distinct keys, in tables of bounded size."""
 
     def run(batches):
-        total: Counter = Counter()
-        for pdf in batches:
-            for text, label in zip(pdf["text"], pdf["label"], strict=True):
-                for key in keys_of(text or ""):
-                    total[key, label] += 1
         import pandas as pd
 
-        items = list(total.items())
-        for at in range(0, len(items), 50_000):
-            part = items[at : at + 50_000]
-            yield pd.DataFrame({name: [k for (k, _), _ in part], "label": [x for (_, x), _ in part], "n": [n for _, n in part]})
+        total: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def emptied():
+            for label in (0, 1):
+                held = total[label]
+                keys = pd.Series(list(held), dtype=object)
+                yield pd.DataFrame({name: keys, "label": np.full(len(keys), label, np.int32), "n": np.fromiter(held.values(), np.int64, len(keys))})
+                held.clear()
+
+        for pdf in batches:
+            for text, label in zip(pdf["text"], pdf["label"], strict=True):
+                total[label].update(keys_of(text or ""))
+                if len(total[0]) + len(total[1]) > HELD:
+                    yield from emptied()
+        yield from emptied()
 
     raw = sample.select("text", "label").mapInPandas(run, f"{name} string, label int, n long")
     return raw.groupBy(name).agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("neg"))
