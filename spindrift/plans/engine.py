@@ -20,13 +20,14 @@ from ..config import Config
 from ..errors import EngineError, as_response
 from ..functions import text
 from ..operators import expansion, lookups, ranking, reporting, retrieval
-from ..schema import EMBEDDED, FILES, QUERY_LOG
+from ..schema import EMBEDDED, FILES, POSTINGS, QUERY_LOG
 from ..shared import written
 from ..sources.repo import find_root, read_repository
 from ..sources.snapshots import Snapshots, index_folder, upserted
 
 #: Lines of a chunk that a search and a file listing show.
 SHOWN, SHOWN_IN_FILE = 15, 20
+CHUNK_KEYS = ("file_path", "name", "line_start")
 
 
 class Engine:
@@ -76,8 +77,11 @@ class Engine:
                     fresh = written(fresh.select(*EMBEDDED.names))
                     created = fresh.count()
                     tell("storing")
-                    chunks = upserted(self.store.table("chunks", EMBEDDED), fresh, diff.filter("state <> 'unchanged'"))
-                    self.store.commit(chunks=chunks, files=live.select("file_path", "language", "size_bytes", "file_hash"))
+                    touched = diff.filter("state <> 'unchanged'")
+                    chunks = upserted(self.store.table("chunks", EMBEDDED), fresh, touched)
+                    terms = upserted(self.store.table("postings", POSTINGS), self._postings(fresh), touched)
+                    files = live.select("file_path", "language", "size_bytes", "file_hash")
+                    self.store.commit(chunks=chunks, postings=terms, files=files)
                 by_language = {r["language"]: r["files"] for r in reporting.languages(live).collect()}
                 diff.unpersist()
             finally:
@@ -101,7 +105,7 @@ class Engine:
         df = self.store.table("chunks", EMBEDDED)
         df = df.withColumns(
             {
-                "chunk_id": F.xxhash64("file_path", "name", "line_start"),
+                "chunk_id": F.xxhash64(*CHUNK_KEYS),
                 "dir": text.directory_of(F.col("file_path")),
                 "norm": text.normalized_name(F.col("name")),
                 "filled": text.filled_lines(F.col("content")),
@@ -119,11 +123,16 @@ class Engine:
         rows = [(r["qid"], self.provider.embed_query(r[column])) for r in queries.select("qid", column).collect() if r[column]]
         return self.spark.createDataFrame(rows, "qid long, vector array<double>")
 
+    @staticmethod
+    def _postings(chunks: DataFrame) -> DataFrame:
+        """Terms of chunks by field; only chunks of changed files are split into terms."""
+        own = chunks.select(F.xxhash64(*CHUNK_KEYS).alias("chunk_id"), "content", "name", "file_path")
+        found = retrieval.postings(own, {c: F.col(c) for c in ("content", "name", "file_path")})
+        return found.join(own.select("chunk_id", "file_path").distinct(), "chunk_id").select("file_path", "field", "term", "chunk_id", "tf", "size")
+
     def _fts(self, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-        every = self.chunks()
-        fields = {"content": F.col("content"), "name": F.col("name"), "file_path": F.col("file_path")}
-        index = retrieval.postings(every.select("chunk_id", "content", "name", "file_path"), fields)
-        return retrieval.text_top_k(index, every.count(), queries, k, chunks.select("chunk_id"))
+        index = self.store.table("postings", POSTINGS).drop("file_path")
+        return retrieval.text_top_k(index, self.chunks().count(), queries, k, chunks.select("chunk_id"))
 
     def _expanded(self, found: DataFrame, chunks: DataFrame, k: int, extension: str | None) -> DataFrame:
         """Callees, callers, siblings, counterparts, each seeing what came before; reranked, then tests."""

@@ -20,5 +20,6 @@ CHUNKS = T.StructType(
     ]
 )
 FILES = "file_path string, language string, size_bytes long, file_hash string"
+POSTINGS = "file_path string, field string, term string, chunk_id long, tf long, size int"
 QUERY_LOG = "saved long, queried_at timestamp"
 EMBEDDED = T.StructType([*CHUNKS.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
