@@ -35,6 +35,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 SLACK = 4.0
 #: Documents of one key that one task compares with as many others.
 BLOCK = 4096
+#: Pairs up to which a block gives all that may be links; above, only those that tie components, and it asks for another look.
+FEW = 4000
 #: Distance from the central document up to which what a document adds to it is kept (beyond, registers alone decide).
 NEAR = 0.5
 #: Bits of the sieve that keeps texts without a partner from being moved.
@@ -224,12 +226,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _crossing(met: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame, every: bool) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in two components and may be links.
+    """Pairs (a, b) that share a key, lie in two components and may be links; a pair of nulls if some block left pairs out.
 
     Keys with one component are done.  Documents of the others are dealt to blocks, and each pair of blocks is
     compared in one task: by sizes and distances from the head, then by registers, then by what both add to the
-    head; of the keys that a pair shares, the first alone counts.  Unless every pair is asked for, a pair is left out when pairs that look
-    safer already tie its components; the caller asks again once these are confirmed or not.
+    head; of the keys that a pair shares, the first alone counts.  Where a block has many such pairs and not every one is asked for, a pair is
+    left out when pairs that look safer already tie its components; the caller asks again once these are confirmed or not.
     """
     placed = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("size > 2 and low < high")
@@ -281,14 +283,15 @@ def _crossing(met: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataF
                 x = root[x]
             return x
 
-        out = []
+        whole = every or len(found) <= FEW
+        out = [] if whole else [(None, None)]
         for v, a, b, ca, cb in sorted(found, reverse=True):
             x, y = top(ca), top(cb)
-            if every or x != y:
+            if whole or x != y:
                 out.append((a, b))
                 if v >= NUMERATOR / DENOMINATOR:
                     root[x] = y
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(out, columns=["a", "b"], dtype="Int64")
 
     found = rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
     both = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -313,12 +316,14 @@ def link(docs: DataFrame) -> DataFrame:
     labels = written(components(tested.filter("link")))
     for every in (False, True):
         more = written(_crossing(met, nodes, labels, tested, every))
-        if more.isEmpty():
+        fresh = more.filter("a is not null")
+        if not fresh.isEmpty():
+            found = written(_confirmed(fresh, docs))
+            tested = tested.unionByName(found)
+            if not found.filter("link").isEmpty():
+                labels = written(components(tested.filter("link")))
+        if more.filter("a is null").isEmpty():
             break
-        found = written(_confirmed(more, docs))
-        tested = tested.unionByName(found)
-        if not found.filter("link").isEmpty():
-            labels = written(components(tested.filter("link")))
     placed = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(placed, "set_key", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
