@@ -58,8 +58,10 @@ def test_against_all_pairs(docs):
     assert [got[i] for i in range(len(texts))] == exact(texts)
 
 
-def test_blocks_change_nothing(docs, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 3)
+@pytest.mark.parametrize(("block", "few"), [(3, 4000), (4096, 0)])
+def test_blocks_change_nothing(docs, monkeypatch, block, few):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "FEW", few)
     texts = corpus()
     got = {r["doc_id"]: r["component_id"] for r in neardup.link(docs(*texts)).collect()}
     assert [got[i] for i in range(len(texts))] == [c for _, c in exact(texts)]
