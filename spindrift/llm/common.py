@@ -85,6 +85,9 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(
                     [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, f.type) for f in arrow], schema=arrow
                 )
+            # the worker lives on with other tasks: what this batch took goes back
+            del batch, part, texts, out
+            pa.default_memory_pool().release_unused()
 
     return frame.mapInArrow(run, fields)
 
