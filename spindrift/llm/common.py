@@ -12,39 +12,47 @@ from pyspark.sql.types import StructType
 from ..shared import drop_written, shared_folder, written
 from ..sources.tables import load
 
-__all__ = ["CACHE_ENTRIES", "WordMemory", "drop_written", "held_out", "load", "map_texts", "shared_folder", "slices", "written"]
+__all__ = ["REMEMBERED", "WordMemory", "drop_written", "held_out", "load", "map_texts", "shared_folder", "slices", "written"]
 
-#: Words that a worker remembers, at most; a full table is emptied.
-CACHE_ENTRIES = 200_000
+#: Words that a worker remembers, at most, unless told otherwise: some 100 MB.
+REMEMBERED = 500_000
+#: Marks of words that came before (one byte each, shared by words of equal hash).
+MARKS = 1 << 22
 
 
 class WordMemory(dict):
-    """Values of words over batches, within bounds: a word stays once two batches have held it.
+    """Values of words over batches, within bounds: a word stays from the second batch on that holds it.
 
-    Most distinct words of a corpus come once; they pass through `fresh` and are dropped with it.
+    Most distinct words of a corpus come once; they live in `fresh` for their batch and leave only a mark.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, limit: int = REMEMBERED) -> None:
         super().__init__()
+        self.limit = limit
         self.fresh: dict = {}
+        self.marks = bytearray(MARKS)
 
     def __missing__(self, word):
         return self.fresh[word]
 
     def begin(self) -> None:
-        """Before a batch: empty what is full."""
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        if len(self.fresh) > CACHE_ENTRIES // 4:
-            self.fresh = {}
+        """Before a batch: let go of what came once, and of the older half when full (what is frequent comes back at once)."""
+        self.fresh = {}
+        if len(self) > self.limit:
+            for word in list(self)[: len(self) // 2]:
+                del self[word]
 
     def learn(self, words: set, values: Callable[[list], list]) -> None:
-        """Make sure that every word has a value."""
-        words = words.difference(self)
-        for word in words & self.fresh.keys():
-            self[word] = self.fresh.pop(word)
-        new = [w for w in words if w not in self]
-        self.fresh.update(zip(new, values(new), strict=True))
+        """Make sure that every word has a value until the next begin()."""
+        new = list(words.difference(self))
+        marks = self.marks
+        for word, value in zip(new, values(new), strict=True):
+            at = hash(word) & (MARKS - 1)
+            if marks[at]:
+                self[word] = value
+            else:
+                marks[at] = 1
+                self.fresh[word] = value
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -92,7 +100,7 @@ def map_texts(
     return frame.mapInArrow(run, fields)
 
 
-def slices(batch: pa.RecordBatch, most: int = 6_000_000):
+def slices(batch: pa.RecordBatch, most: int = 8_000_000):
     """Parts of a batch of about `most` bytes each (one row at least)."""
     rows = max(1, min(batch.num_rows, int(batch.num_rows * most / max(1, batch.nbytes))))
     for at in range(0, batch.num_rows, rows):

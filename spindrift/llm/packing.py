@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemory, map_texts
+from .common import REMEMBERED, WordMemory, map_texts
 
 #: The id that ends each document.
 END = 2
@@ -38,7 +38,7 @@ class ChunkEncoder:
     string isn't lower-cased here: the library looks for those before it changes case.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
@@ -48,7 +48,7 @@ class ChunkEncoder:
         other = [b for b in range(256) if b not in printable]
         as_char = {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(other)}
         self.shown = {c: "".join(as_char[b] for b in chr(c).encode()) for c in range(256)}
-        self.cache = WordMemory()
+        self.cache = WordMemory(remember)
         probes = ["It's  a Test\n\tof <|endoftext|>x, 12 34\r\n café", " a ", "", "ÀÉ'LL''s.\x1c.½ÿ <|EndOfText|>", "日本 x\x85y\xa0ªº'"]
         if [x.tolist() for x in self.ids(probes)] != [e.ids for e in self.encode(probes, add_special_tokens=False)]:
             raise ValueError(f"{path}: not a tokenizer whose parts can be encoded on their own")
@@ -93,9 +93,9 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, remember: int) -> ChunkEncoder:
     """One for each worker process, kept over its tasks."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, remember)
 
 
 def lengths_of(n: int, longest: int) -> list[int]:
@@ -104,10 +104,10 @@ def lengths_of(n: int, longest: int) -> list[int]:
     return [longest] * whole + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, longest: int = 4096, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, longest: int = 4096, with_ids: bool = True, remember: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, and ids on request.
 
-    longest is a power of two.  bucket is log2 of the length: sequences of one bucket batch
+    longest is a power of two; remember bounds the words that a worker keeps ids of (memory against speed).  bucket is log2 of the length: sequences of one bucket batch
     together without padding.  Each piece is one sequence at offset 0.  A null or empty text
     is the end id alone; repeated rows are packed each; an empty table packs to nothing;
     other columns are not read.  sequence_id is unique and, for one input layout, the
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 4096, with_ids: bool =
         raise ValueError("longest must be a power of two")
 
     def make():
-        encode = encoder(tokenizer).ids
+        encode = encoder(tokenizer, remember).ids
 
         def work(ids, texts):
             out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
