@@ -4,9 +4,8 @@ from pyspark.sql import functions as F
 from spindrift.llm import common, neardup
 
 
-def test_word_memory_keeps_what_comes_twice(monkeypatch):
-    monkeypatch.setattr(common, "CACHE_ENTRIES", 8)
-    m, made = common.WordMemory(), []
+def test_word_memory_keeps_what_comes_twice():
+    m, made = common.WordMemory(8), []
 
     def values(words):
         made.extend(words)
@@ -17,14 +16,13 @@ def test_word_memory_keeps_what_comes_twice(monkeypatch):
     assert m["a"] == "aa" and "a" not in m and m.get("a") is None
     m.begin()
     m.learn({"a", "c"}, values)
-    assert "a" in m and sorted(made) == ["a", "b", "c"] and m["c"] == "cc"
-    m.begin()  # three fresh words are above a quarter of eight
-    m.learn({"x", "y", "z"}, values)
+    assert "a" in m and sorted(made) == ["a", "a", "b", "c"] and m["c"] == "cc"
     m.begin()
-    assert m.fresh == {} and m["a"] == "aa"
+    m.learn({"a", "b"}, values)
+    assert m.fresh == {} and m["a"] == "aa" and m["b"] == "bb" and made.count("a") == 2
     m.update({str(i): i for i in range(9)})
     m.begin()
-    assert not m
+    assert "a" not in m and len(m) <= 8
 
 
 def test_slices_follow_bytes():
