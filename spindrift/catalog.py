@@ -12,7 +12,7 @@ from .functions import text
 from .functions.words import STOP, SUFFIXES, TERMS
 from .operators import evaluation, expansion, ranking, reporting, retrieval
 from .shared import written
-from .sources.tables import benchmark_queries, calls, chunks, load
+from .sources.tables import ALL, benchmark_queries, calls, chunks, load
 
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
@@ -216,7 +216,7 @@ callers AS (SELECT callee, name AS caller, count(*) AS times FROM calls JOIN chu
 
 @query(f"WITH {_CHUNKS}, {_CALLS}, {_CALLERS} SELECT * FROM callers")
 def callers_index(spark, sf_dir):
-    """Who calls each name, and how often."""
+    """Who calls each name, and how often; the second to ninth term of a text alone, as in its SQL."""
     return expansion.callers_index(calls(spark, sf_dir), chunks(spark, sf_dir))
 
 
@@ -230,7 +230,7 @@ def callers_index(spark, sf_dir):
     SELECT qid, pos, chunk_id, file_path, name, round(score * 0.8, 6) AS score FROM got"""
 )
 def expand_calls(spark, sf_dir):
-    """What the hybrid results call."""
+    """What the hybrid results call, by the same terms."""
     out = expansion.via_calls(_hybrid_results(spark, sf_dir), calls(spark, sf_dir), chunks(spark, sf_dir), 5)
     return out.select("qid", "pos", "chunk_id", "file_path", "name", "score")
 
@@ -246,12 +246,38 @@ def expand_calls(spark, sf_dir):
     SELECT qid, pos, chunk_id, file_path, name, round(score * 0.75, 6) AS score, caller_of FROM got"""
 )
 def expand_callers(spark, sf_dir):
-    """Who calls the hybrid results."""
+    """Who calls the hybrid results, by the same terms."""
     c = chunks(spark, sf_dir)
     out = expansion.via_callers(_hybrid_results(spark, sf_dir), expansion.callers_index(calls(spark, sf_dir), c), c)
     return out.select("qid", "pos", "chunk_id", "file_path", "name", "score", "caller_of")
 
 
+def _every_term(name: str) -> str:
+    """The oracle of a query of calls, over all terms behind the name."""
+    return _ORACLES[name].replace("[2:9]", "[2:]")
+
+
+@query(_every_term("callers_index"))
+def callers_index_whole(spark, sf_dir):
+    """Who calls each name, and how often: every term of a text behind its name."""
+    return expansion.callers_index(calls(spark, sf_dir, ALL), chunks(spark, sf_dir))
+
+
+@query(_every_term("expand_calls"))
+def expand_calls_whole(spark, sf_dir):
+    """What the hybrid results call, by every term of a text."""
+    out = expansion.via_calls(_hybrid_results(spark, sf_dir), calls(spark, sf_dir, ALL), chunks(spark, sf_dir), 5)
+    return out.select("qid", "pos", "chunk_id", "file_path", "name", "score")
+
+
+@query(_every_term("expand_callers"))
+def expand_callers_whole(spark, sf_dir):
+    """Who calls the hybrid results, by every term of a text."""
+    c = chunks(spark, sf_dir)
+    out = expansion.via_callers(_hybrid_results(spark, sf_dir), expansion.callers_index(calls(spark, sf_dir, ALL), c), c)
+    return out.select("qid", "pos", "chunk_id", "file_path", "name", "score", "caller_of")
+
+
 @query(
     f"""WITH {_RESULTS},
     dirs AS (SELECT qid, dir FROM res GROUP BY ALL HAVING count(*) >= 2),

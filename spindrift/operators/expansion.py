@@ -42,14 +42,16 @@ def via_calls(results: DataFrame, calls: DataFrame, chunks: DataFrame, top_k: in
 
 
 def callers_index(calls: DataFrame, chunks: DataFrame) -> DataFrame:
-    """callee, caller, count: how often chunks of a name call a name; unnamed ends are left out."""
-    named = calls.join(chunks.select("chunk_id", F.col("name").alias("caller")), "chunk_id")
+    """callee, caller, count: how often chunks of a name call a name; unnamed ends are left out. Calls that carry their caller aren't joined."""
+    named = calls if "caller" in calls.columns else calls.join(chunks.select("chunk_id", F.col("name").alias("caller")), "chunk_id")
     return named.filter("callee <> '' and caller <> ''").groupBy("callee", "caller").agg(F.count("*").alias("times"))
 
 
 def via_callers(results: DataFrame, callers: DataFrame, chunks: DataFrame) -> DataFrame:
     """Who calls the results, at 0.75; names with 50 callers or more are too general; 10 at most."""
-    own = callers.withColumn("_all", F.sum("times").over(Window.partitionBy("callee"))).filter(F.col("_all") < GENERIC).drop("_all", "times")
+    # counted by an aggregate and for the results' names alone: a name that most chunks call is no partition of its own
+    asked = callers.join(results.select(F.col("name").alias("callee")).distinct(), "callee", "left_semi")
+    own = asked.join(asked.groupBy("callee").agg(F.sum("times").alias("_all")).filter(F.col("_all") < GENERIC), "callee", "left_semi").drop("times")
     named = results.join(own, results["name"] == own["callee"]).select("qid", F.col("pos").alias("by"), F.col("caller").alias("name"), F.col("score").alias("given"), F.col("callee").alias("caller_of"))
     fresh = named.join(results.select("qid", "name").distinct(), ["qid", "name"], "left_anti")
     found = first(fresh, ["qid", "name"], ["by", "name"]).join(first_by_name(chunks).select(*COLUMNS), "name")
