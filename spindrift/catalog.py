@@ -59,9 +59,13 @@ def query(oracle: str | None = None):
     return add
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+#: The vectors that the queries with SQL over one label ask; the same queries with _whole behind their names ask all.
+LABEL, EVERY = "label = 0", "true"
+
+
+def _vectors(spark: SparkSession, sf_dir: str, asked: str = LABEL) -> tuple[DataFrame, DataFrame]:
     e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
-    return e, e.filter("label = 0").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
+    return e, e.filter(asked).select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
@@ -75,16 +79,16 @@ def _fts(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 
 @query(f"WITH {_VECTOR.format(k=5, where='')} SELECT * FROM vec")
-def vector_topk(spark, sf_dir):
+def vector_topk(spark, sf_dir, asked=LABEL):
     """The five vectors nearest to each vector of label 0."""
-    e, q = _vectors(spark, sf_dir)
+    e, q = _vectors(spark, sf_dir, asked)
     return retrieval.vector_top_k(e, q, 5)
 
 
 @query(f"WITH {_VECTOR.format(k=5, where=' AND c.label IN (1, 2)')} SELECT * FROM vec")
-def vector_topk_filtered(spark, sf_dir):
+def vector_topk_filtered(spark, sf_dir, asked=LABEL):
     """The same among labels 1 and 2, filtered before ranking."""
-    e, q = _vectors(spark, sf_dir)
+    e, q = _vectors(spark, sf_dir, asked)
     return retrieval.vector_top_k(e, q, 5, F.col("label").isin(1, 2))
 
 
@@ -94,9 +98,9 @@ def vector_topk_filtered(spark, sf_dir):
              FROM vec JOIN chunks USING (chunk_id) WHERE score >= 0.45)
     SELECT qid, chunk_id, chunk_type, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM kept"""
 )
-def semantic_boosted(spark, sf_dir):
+def semantic_boosted(spark, sf_dir, asked=LABEL):
     """Vector search with the threshold, then type boosts."""
-    e, q = _vectors(spark, sf_dir)
+    e, q = _vectors(spark, sf_dir, asked)
     found = retrieval.vector_top_k(e, q, 5).filter(F.col("score") >= ranking.THRESHOLD).drop("rank")
     typed = found.join(chunks(spark, sf_dir).select("chunk_id", "chunk_type"), "chunk_id")
     return retrieval.ranked(ranking.boosted(typed), [F.col("score").desc(), "chunk_id"]).select("qid", "chunk_id", "chunk_type", "score", "rank")
@@ -138,9 +142,9 @@ _LISTS = (
 
 
 @query(f"WITH {_LISTS}, {_RRF} SELECT * FROM fused")
-def rrf_fuse(spark, sf_dir):
+def rrf_fuse(spark, sf_dir, asked=LABEL):
     """Two vector rankings fused: all labels, and labels below 5 with ties the other way round."""
-    e, q = _vectors(spark, sf_dir)
+    e, q = _vectors(spark, sf_dir, asked)
     left = retrieval.vector_top_k(e, q, 10)
     right = retrieval.vector_top_k(e.filter("label < 5").withColumn("chunk_id", -F.col("chunk_id")), q, 10).withColumn("chunk_id", -F.col("chunk_id"))
     return retrieval.rank_fusion(left, right, 10, 5)
@@ -492,17 +496,17 @@ pr AS (SELECT qid, hits::DOUBLE / returned AS p, hits::DOUBLE / relevant AS r, 1
 q AS (SELECT qid, 'semantic' AS method, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1, round(coalesce(f, 0.0), 4) AS mrr, round(nd, 4) AS ndcg FROM pr)"""
 
 
-def _quality(spark, sf_dir) -> DataFrame:
-    e, q = _vectors(spark, sf_dir)
+def _quality(spark, sf_dir, asked: str) -> DataFrame:
+    e, q = _vectors(spark, sf_dir, asked)
     found = retrieval.vector_top_k(e, q, 10).select("qid", F.lit("semantic").alias("method"), "rank", F.col("chunk_id").alias("item"))
-    mates = q.select("qid").join(e.filter("label = 0").select(F.col("chunk_id").alias("item")), F.col("qid") != F.col("item"))
+    mates = e.filter(asked).select(F.col("chunk_id").alias("qid"), "label").join(e.select(F.col("chunk_id").alias("item"), "label"), "label").filter("qid <> item").drop("label")
     return evaluation.measures(found, mates.withColumn("grade", (2 + F.col("item") % 2).cast("int")), 10)
 
 
 @query(f"WITH {_VECTOR.format(k=10, where='')}, {_GRADED} SELECT * FROM q")
-def retrieval_quality(spark, sf_dir):
+def retrieval_quality(spark, sf_dir, asked=LABEL):
     """Precision, recall, f1, reciprocal rank and gain of the vector search, same labels being relevant."""
-    return _quality(spark, sf_dir)
+    return _quality(spark, sf_dir, asked)
 
 
 @query(
@@ -511,10 +515,24 @@ def retrieval_quality(spark, sf_dir):
     SELECT method, category, difficulty, count(*) AS queries, round(avg(precision) + 1e-9, 4) AS precision, round(avg(recall) + 1e-9, 4) AS recall, round(avg(f1) + 1e-9, 4) AS f1, round(avg(mrr) + 1e-9, 4) AS mrr, round(avg(ndcg) + 1e-9, 4) AS ndcg
     FROM q JOIN c USING (qid) GROUP BY GROUPING SETS ((method), (category, method), (difficulty, method))"""
 )
-def report_grouping_sets(spark, sf_dir):
+def report_grouping_sets(spark, sf_dir, asked=LABEL):
     """Mean measures by method, category and difficulty."""
-    asked = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.concat(F.lit("c"), F.col("vec_id") % 3).alias("category"), F.concat(F.lit("d"), F.col("vec_id") % 2).alias("difficulty"))
-    return evaluation.report(_quality(spark, sf_dir), asked)
+    groups = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.concat(F.lit("c"), F.col("vec_id") % 3).alias("category"), F.concat(F.lit("d"), F.col("vec_id") % 2).alias("difficulty"))
+    return evaluation.report(_quality(spark, sf_dir, asked), groups)
+
+
+def _of_every_label(f) -> None:
+    """Register a query that asks the vectors of label 0 once more, asking all vectors."""
+
+    def whole(spark, sf_dir):
+        return f(spark, sf_dir, EVERY)
+
+    whole.__name__, whole.__doc__ = f"{f.__name__}_whole", f"{f.__name__} asking every vector, whatever its label."
+    query(_ORACLES[f.__name__].replace("q.label = 0", "true"))(whole)
+
+
+for _f in (vector_topk, vector_topk_filtered, semantic_boosted, rrf_fuse, retrieval_quality, report_grouping_sets):
+    _of_every_label(_f)
 
 
 @query(

@@ -21,7 +21,8 @@ def boosted(results: DataFrame) -> DataFrame:
     factor = F.lit(1.0)
     for kind, value in BOOST.items():
         factor = F.when(F.col("chunk_type") == kind, value).otherwise(factor)
-    return results.withColumn("score", F.round(F.col("score") * factor, 4))
+    # ties as in the SQL: what is rounded is the product's ten-thousandths
+    return results.withColumn("score", F.round(F.col("score") * factor * 1e4, 0) / 1e4)
 
 
 def rerank(results: DataFrame) -> DataFrame:

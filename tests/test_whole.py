@@ -20,3 +20,21 @@ def test_calls_of_whole_texts(spark, tmp_path):
     want = Counter((c, words[i][0]) for i, cs in edges.items() for c in cs)
     found = {(r["callee"], r["caller"]): r["times"] for r in catalog.queries()["callers_index_whole"](spark, str(tmp_path)).collect()}
     assert found == want and found["tail", "alpha"] == 2
+
+
+def test_every_label_is_asked(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) + 4 * (j == i % 3) for j in range(8)], 1 + i % 3) for i in range(30)]  # no label 0
+    stored(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>, label int")
+    q = catalog.queries()
+    assert {r["qid"] for r in q["vector_topk_whole"](spark, str(tmp_path)).collect()} == set(range(30))
+    quality = {r["qid"]: r for r in q["retrieval_quality_whole"](spark, str(tmp_path)).collect()}
+    top = {}
+    for r in q["vector_topk_whole"](spark, str(tmp_path)).collect():
+        top.setdefault(r["qid"], []).append(r["chunk_id"])
+    assert set(quality) == set(range(30)) and all(0 < r["precision"] <= 0.9 for r in quality.values())  # the vector itself is none of its mates
+    assert all(i in found and len(found) == 5 for i, found in top.items())
+    by_method = [r for r in q["report_grouping_sets_whole"](spark, str(tmp_path)).collect() if r["category"] is None and r["difficulty"] is None]
+    assert [r["queries"] for r in by_method] == [30]
