@@ -31,6 +31,8 @@ class Kind:
     check: str = ""
     words: str = ""
     lift: float = 0.0
+    #: Code points that a match takes; what the pattern's group sees ahead of it is the span, and other spans may begin inside it. 0: the match is the span.
+    head: int = 0
 
 
 _W = "A-Za-z0-9._%+-"
@@ -43,7 +45,17 @@ KINDS = (
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])", "[0-9]", 0.7, "luhn", "card|visa|credit|debit|payment", 0.2),
     # \+[0-9][\x20().0-9-]+[0-9], 9 to 15 digits
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "\\+[0-9]", 0.7, "phone", "phone|tel|call|mobile|fax", 0.2),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", 0.8, "mod97", "iban|bank|account|konto|compte|cuenta", 0.15),
+    # a head, and ahead of it the longest run of groups; which of them belong to it is for mod97 to say
+    Kind(
+        "iban",
+        r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+(?![A-Za-z0-9])|(?: [A-Z0-9]{4}(?![A-Za-z0-9])){2,7}+(?: [A-Z0-9]{1,3}(?![A-Za-z0-9]))?)))[A-Z]{2}[0-9]{2}",
+        "[A-Z]{2}[0-9]{2}",
+        0.8,
+        "mod97",
+        "iban|bank|account|konto|compte|cuenta",
+        0.15,
+        4,
+    ),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", 0.4, "", "ssn|social|security|taxpayer", 0.5),
     Kind("secret", r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,128}+(?![A-Za-z0-9])", "[A-Fa-f0-9]{16}", 0.3, "", "token|secret|password|passwd|api.?key|auth", 0.6),
 )
@@ -74,6 +86,19 @@ def _valid(check: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _longest(check: str, match: Column) -> Column:
+    """The longest run of a match's blank-separated groups, from the first on, that passes the check; null if none does."""
+    groups = F.split(match, " ")
+    runs = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    return F.try_element_at(F.filter(runs, lambda run: _valid(check, run)), F.lit(1))
+
+
+def _apart(spans: Column, none: Column) -> Column:
+    """Spans in order without those that begin inside an earlier one."""
+    free = lambda acc, s: s["start"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
+    return F.aggregate(spans, none, lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
+
+
 def _spans(kind: Kind, rank: int, text: Column, gaps: Column, matches: Column) -> Column:
     """Spans of a kind, out of the texts between its matches and the matches."""
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("g"), matches.alias("m"))
@@ -83,10 +108,13 @@ def _spans(kind: Kind, rank: int, text: Column, gaps: Column, matches: Column) -
     def step(acc, p):
         end = start(acc, p) + F.length(p["m"])
         one = F.struct(start(acc, p).cast("long").alias("start"), end.cast("long").alias("end"), p["m"].alias("m"))
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.struct((start(acc, p) + kind.head if kind.head else end).cast("long").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     found = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    if kind.check:
+    if kind.head:
+        kept = F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(_longest(kind.check, s["m"]))).cast("long").alias("end"), _longest(kind.check, s["m"]).alias("m")))
+        found = _apart(F.filter(kept, lambda s: s["m"].isNotNull()), none)
+    elif kind.check:
         found = F.filter(found, lambda s: _valid(kind.check, s["m"]))
     if kind.words:
         before = lambda s: F.lower(F.substr(text, F.greatest(s["start"] - WINDOW, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(WINDOW)).cast("int")))
@@ -111,7 +139,7 @@ def find_spans(docs: DataFrame, *keep: str) -> DataFrame:
     parts = []
     for kind in KINDS:
         may = F.col("_at") if kind.needs == "@" else F.col("_digit") & text.rlike(kind.needs)
-        parts.append(F.when(may, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))).alias(f"_m_{kind.name}"))
+        parts.append(F.when(may, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1 if kind.head else 0))).alias(f"_m_{kind.name}"))
     frame = frame.select("*", *parts)
     gaps = [F.when(F.size(f"_m_{k.name}") > 0, F.split(text, k.pattern, -1)).alias(f"_g_{k.name}") for k in KINDS]
     frame = frame.select("*", *gaps)

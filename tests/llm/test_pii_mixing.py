@@ -110,3 +110,12 @@ def test_odd_rows(docs):
     assert sorted(r["mix_tokens"] for r in got) == [0, 0, 2, 2] and len({r["mix_kept"] for r in got if r["doc_id"] == 3}) == 1
     assert mixing.mix(docs()).collect() == []
     assert mixing.mix(docs(None)).select(F.col("mix_probability")).first()[0] == 0.5
+
+
+def test_ibans_among_other_words(docs):
+    be, de, gb = "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    texts = [be, f"{be} OK", f"{be} 2024", f"{be} 2024x", f"{be} ACCOUNT 12", f"{be} {de}", f"é {de} {be} {gb}", f"AB12 CDEF 1234 5678 {be}", f"{de} OK DE89370400440532013000 A", "BE68 5390 0754 7035 OK"]
+    want = [[be], [be], [be], [be], [be], [be, de], [de, be, gb], [be], [de, "DE89370400440532013000"], []]
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "iban"] for r in pii.find_spans(docs(*texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert pii.redact(docs(f"to {be} OK")).first()["text"] == "to [IBAN] OK"
