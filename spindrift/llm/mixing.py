@@ -9,6 +9,8 @@ rows costs no more than any other; all later steps but the last join work on cel
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +18,12 @@ from pyspark.sql.window import Window
 from .common import written
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Rakings over all dimensions in one table, tables at most, and the deviation of a marginal that ends them.
-SWEEPS, ROUNDS, TOLERANCE = 4, 6, 1e-6
+#: Rakings over all dimensions in one table, and the deviation of a marginal that ends them.
+SWEEPS, TOLERANCE = 4, 1e-6
+#: Tables in a row that lower the least deviation by less than this part of it: it has stopped falling.
+IDLE, FALL = 3, 1e-3
+
+log = logging.getLogger(__name__)
 
 
 def topic(text: Column) -> Column:
@@ -66,24 +72,32 @@ def _targets(cells: DataFrame, targets: dict[str, dict[str, float] | None], alph
 def rake(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, alpha: float = 0.7) -> DataFrame:
     """Cells with w0 (share of tokens), w (raked share) and t_<dimension>; cells without tokens have no part.
 
-    Where targets can't all hold (a value occurs in too few cells), the sweeps end after
-    SWEEPS * ROUNDS with the last dimension exact.
+    Sweeps go on until every marginal is within TOLERANCE of its target.  Where targets can't all hold (a value occurs in
+    too few cells), they end once the largest deviation has stopped falling, with the last
+    dimension exact; that deviation is logged as a warning.
     """
     cells = docs.groupBy(*(f"mix_{d}" for d in DIMENSIONS)).agg(F.sum("mix_tokens").cast("double").alias("n")).filter("n > 0")
     cells = written(cells)
     whole = Window.partitionBy()
     cells = _targets(cells.withColumn("w0", F.col("n") / F.sum("n").over(whole)), targets or {}, alpha).withColumn("w", F.col("w0"))
-    for _ in range(ROUNDS):
+    least, idle, sweeps = float("inf"), 0, 0
+    while True:
         for _ in range(SWEEPS):
             for d in DIMENSIONS:
                 now = F.sum("w").over(Window.partitionBy(f"mix_{d}"))
                 cells = cells.withColumn("w", F.when(now > 0, F.col("w") * F.col(f"t_{d}") / now).otherwise(0.0))
         off = [F.abs(F.sum("w").over(Window.partitionBy(f"mix_{d}")) - F.col(f"t_{d}")) for d in DIMENSIONS]
         cells = written(cells.withColumn("off", F.greatest(*off)))
-        if (cells.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
-            break
-        cells = cells.drop("off")
-    return cells.drop("off")
+        left = cells.agg(F.max("off")).first()[0] or 0.0
+        cells, sweeps = cells.drop("off"), sweeps + SWEEPS
+        if left < TOLERANCE:
+            log.info("raked in %d sweeps to a deviation of %.3g", sweeps, left)
+            return cells
+        idle = 0 if left < least * (1 - FALL) else idle + 1
+        least = min(least, left)
+        if idle == IDLE:
+            log.warning("the targets can't all hold: a share is still %.3g off its target after %d sweeps", left, sweeps)
+            return cells
 
 
 def calibrated(cells: DataFrame, rate: float) -> DataFrame:

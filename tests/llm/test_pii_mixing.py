@@ -119,3 +119,29 @@ def test_ibans_among_other_words(docs):
     got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "iban"] for r in pii.find_spans(docs(*texts)).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert pii.redact(docs(f"to {be} OK")).first()["text"] == "to [IBAN] OK"
+
+
+def test_raking_goes_on_until_targets_hold(spark, caplog):
+    import numpy as np
+
+    # each source in two languages, in a ring, heavy-tailed: 24 sweeps leave 1.6e-4
+    r = np.random.default_rng(21)
+    n = int(r.integers(3, 8))
+    cells = [(i, k) for i in range(n) for k in (i, (i + 1) % n)]
+    tokens = np.maximum(1, (300 * r.random(len(cells)) ** 6).astype(int))
+    true = tokens * np.exp(r.normal(0, 1.6, len(cells)))  # targets that these weights meet
+    rows = [(j, "w " * int(t), f"l{k}", f"s{i}", 1) for j, ((i, k), t) in enumerate(zip(cells, tokens))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    targets = {"source": {}, "lang": {}}
+    for (i, k), w in zip(cells, true):
+        targets["source"][f"s{i}"] = targets["source"].get(f"s{i}", 0) + float(w)
+        targets["lang"][f"l{k}"] = targets["lang"].get(f"l{k}", 0) + float(w)
+    got = mixing.rake(mixing.weighed(docs), targets).toPandas()
+    for d in ("source", "lang"):
+        by = got.groupby(f"mix_{d}")
+        assert (by["w"].sum() - by[f"t_{d}"].first()).abs().max() < 1e-6
+    assert not caplog.records
+    # one source has one language alone, and their targets contradict
+    docs = spark.createDataFrame([(0, "w " * 9, "x", "a", 1), (1, "w w w", "y", "b", 1)], docs.schema)
+    got = mixing.rake(mixing.weighed(docs), {"source": {"a": 1, "b": 1}, "lang": {"x": 3, "y": 1}}).toPandas()
+    assert got["w"].sum() == pytest.approx(1) and "off its target" in caplog.text
