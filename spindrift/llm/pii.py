@@ -60,7 +60,7 @@ KINDS = (
     Kind("secret", r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,128}+(?![A-Za-z0-9])", "[A-Fa-f0-9]{16}", 0.3, "", "token|secret|password|passwd|api.?key|auth", 0.6),
 )
 BASE = 4
-#: Code points in front of a span in which its words count.
+#: Code points in front of a span, and behind it, in which its words count.
 WINDOW = 40
 #: Base kinds always stay; others need this score.
 THRESHOLD = 0.5
@@ -118,7 +118,9 @@ def _spans(kind: Kind, rank: int, text: Column, gaps: Column, matches: Column) -
         found = F.filter(found, lambda s: _valid(kind.check, s["m"]))
     if kind.words:
         before = lambda s: F.lower(F.substr(text, F.greatest(s["start"] - WINDOW, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(WINDOW)).cast("int")))
-        score = lambda s: F.lit(kind.base) + F.when(before(s).rlike(rf"(?:^|[^a-z])(?:{kind.words})"), kind.lift).otherwise(0.0)
+        behind = lambda s: F.lower(F.substr(text, s["end"].cast("int") + 1, F.lit(WINDOW)))
+        near = lambda s: F.concat(before(s), F.lit("\n"), behind(s))
+        score = lambda s: F.lit(kind.base) + F.when(near(s).rlike(rf"(?:^|[^a-z])(?:{kind.words})"), kind.lift).otherwise(0.0)
     else:
         score = lambda s: F.lit(kind.base)
     out = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), score(s).cast("double").alias("score")))

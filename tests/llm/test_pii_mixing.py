@@ -145,3 +145,11 @@ def test_raking_goes_on_until_targets_hold(spark, caplog):
     docs = spark.createDataFrame([(0, "w " * 9, "x", "a", 1), (1, "w w w", "y", "b", 1)], docs.schema)
     got = mixing.rake(mixing.weighed(docs), {"source": {"a": 1, "b": 1}, "lang": {"x": 3, "y": 1}}).toPandas()
     assert got["w"].sum() == pytest.approx(1) and "off its target" in caplog.text
+
+
+def test_context_behind_a_span(docs):
+    key = "a1" * 20
+    texts = ["123-45-6789 (SSN)", f"é {key} is my api key", f"{key} {'x' * 35} token", f"{key} {'x' * 33} token", "123-45-6789 assn", "123-45-6789"]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.find_spans(docs(*texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [["ssn"], ["secret"], [], ["secret"], [], []]
+    assert pii.redact(docs(texts[0])).first()["text"] == "[SSN] (SSN)"
