@@ -61,6 +61,49 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """crc16 of the first bits of data."""
+    crc = crc16(data[: bits // 8])
+    for k in range(bits % 8):
+        crc = (crc << 1 ^ 0x8005 if crc >> 15 ^ data[bits // 8] >> 7 - k & 1 else crc << 1) & 0xFFFF
+    return crc
+
+
+def layer2_bits(version: float, kbit: int, hz: int, channels: int) -> tuple[int, ...]:
+    """Bits of the allocation of each subband of a Layer II frame (ISO/IEC 11172-3 tables B.2a to d, 13818-3 table B.1)."""
+    if version != 1:
+        return (4,) * 4 + (3,) * 7 + (2,) * 19
+    each = kbit // channels
+    if each <= 48:
+        return (4,) * 2 + (3,) * (10 if hz == 32000 else 6)
+    return (4,) * 11 + (3,) * 12 + (2,) * (4 if each <= 80 or hz == 48000 else 7)
+
+
+def protected_bits(frame: bytes, found: tuple) -> int | None:
+    """Bits behind header and checksum that the checksum covers: side information, allocation, in Layer II selection as well; None if the frame is too short."""
+    version, layer, _, kbit, hz, _, _, side, mono = found
+    if layer == 3:
+        return 8 * side if len(frame) >= 6 + side else None
+    channels = 1 if mono else 2
+    bound = 4 * ((frame[3] >> 4 & 3) + 1) if frame[3] >> 6 == 1 else 32  # from there on joint stereo shares what it allocates
+    sizes = (4,) * 32 if layer == 1 else layer2_bits(version, kbit, hz, channels)
+    bits = sum(n * (channels if band < bound else 1) for band, n in enumerate(sizes))
+    if layer == 2:
+        body, at = int.from_bytes(frame[6 : 6 + (bits + 7) // 8], "big") >> -bits % 8, bits
+        for band, n in enumerate(sizes):
+            for _ in range(channels if band < bound else 1):
+                at -= n
+                # two bits a channel that has samples in the band
+                bits += 2 * (1 if band < bound else channels) * bool(body >> at & (1 << n) - 1)
+    return bits if 8 * (len(frame) - 6) >= bits else None
+
+
+def checked(frame: bytes, found: tuple) -> bool:
+    """Whether a protected frame's checksum holds."""
+    bits = protected_bits(frame, found)
+    return bits is not None and int.from_bytes(frame[4:6], "big") == crc16_bits(frame[2:4] + frame[6:], 16 + bits)
+
+
 def syncsafe(n: int) -> bytes:
     return bytes((n >> s) & 0x7F for s in (21, 14, 7, 0))
 
@@ -160,7 +203,7 @@ def scan_mpeg(data: bytes) -> Scan:
         if found:
             _, layer, protected, kbit, hz, length, samples, side, _ = found
             body = at + 4 + 2 * protected + side
-            good = protected and side and int.from_bytes(data[at + 4 : at + 6], "big") == crc16(data[at + 2 : at + 4] + data[at + 6 : body])
+            good = protected and checked(data[at : min(end, at + length)], found)
             after = header(data[at + length : at + length + 4])
             # four bytes that look like a header are none unless the checksum holds or a frame of the kind, or the end, follows
             found = at + length <= end and (good or at + length == end or bool(after and after[1] == layer and after[4] == hz))
@@ -185,7 +228,7 @@ def scan_mpeg(data: bytes) -> Scan:
             scan.vbr_bytes = int.from_bytes(data[at + 46 : at + 50], "big")
             scan.vbr_frames = int.from_bytes(data[at + 50 : at + 54], "big")
         else:
-            if protected and side:
+            if protected:
                 scan.crc_ok += good
                 scan.crc_bad += not good
             scan.frames += 1

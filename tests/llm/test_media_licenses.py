@@ -32,6 +32,50 @@ def test_resynchronises_and_verifies():
     assert audio.scan_mpeg(b"no audio at all").frames == 0 and audio.scan_mpeg(b"").skipped == 0
 
 
+def with_checksum(head, bits, length):
+    """A frame of a header and the bits its checksum covers, the checksum by long division."""
+    crc = 0xFFFF
+    for bit in f"{int.from_bytes(head[2:], 'big'):016b}" + bits:
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15) != int(bit) else 0)) & 0xFFFF
+    body = int(bits.ljust(-(-len(bits) // 8) * 8, "1"), 2).to_bytes(-(-len(bits) // 8), "big")
+    return (head + crc.to_bytes(2, "big") + body).ljust(length, b"\x55")
+
+
+@pytest.mark.parametrize(
+    "head, sizes",
+    [
+        ("fffe98c0", [(4, 1)] * 32),  # Layer I, mono
+        ("fffe9800", [(4, 2)] * 32),  # stereo
+        ("fffe9850", [(4, 2)] * 8 + [(4, 1)] * 24),  # joint from band 8 on
+        ("fffc84c0", [(4, 1)] * 11 + [(3, 1)] * 12 + [(2, 1)] * 4),  # Layer II, 48 kHz, 128 kbit/s, mono
+        ("fffc9000", [(4, 2)] * 11 + [(3, 2)] * 12 + [(2, 2)] * 4),  # 44.1 kHz, 80 kbit/s a channel
+        ("fffcc040", [(4, 2)] * 4 + [(4, 1)] * 7 + [(3, 1)] * 12 + [(2, 1)] * 7),  # 128 a channel, joint from band 4 on
+        ("fffc14c0", [(4, 1)] * 2 + [(3, 1)] * 6),  # 32 kbit/s, mono
+        ("fffc18c0", [(4, 1)] * 2 + [(3, 1)] * 10),  # the same at 32 kHz
+        ("fff480c0", [(4, 1)] * 4 + [(3, 1)] * 7 + [(2, 1)] * 19),  # MPEG-2
+    ],
+)
+def test_checksums_of_layers_one_and_two(head, sizes):
+    head, rng = bytes.fromhex(head), random.Random(4)
+    _, layer, protected, *_, mono = found = audio.header(head)
+    assert protected
+    frames = []
+    for _ in range(6):
+        bits, chosen = "", 0
+        for n, stored in sizes:
+            for _ in range(stored):
+                value = rng.choice([0, rng.randrange(1 << n) if layer == 2 else rng.randrange(15)])
+                bits += f"{value:0{n}b}"
+                chosen += (value > 0) * (1 if mono or stored == 2 else 2)
+        bits += "".join(rng.choice("01") for _ in range(2 * chosen * (layer == 2)))
+        frames.append(bytearray(with_checksum(head, bits, found[5])))
+    scan = audio.scan_mpeg(b"".join(frames))
+    assert (scan.frames, scan.crc_ok, scan.crc_bad, scan.skipped) == (6, 6, 0, 0)
+    frames[2][7] ^= 8
+    scan = audio.scan_mpeg(b"".join(frames))
+    assert (scan.frames, scan.crc_ok, scan.crc_bad) == (6, 5, 1)
+
+
 def test_headers():
     assert audio.header(bytes((0xFF, 0xFB, 0x90, 0x00)))[3:7] == (128, 44100, 417, 1152)
     assert audio.header(bytes((0xFF, 0xF3, 0x80, 0xC0)))[3:7] == (64, 22050, 208, 576)
