@@ -154,9 +154,10 @@ class Engine:
         ordered = ranking.rerank(results).drop("pos", "norm", "filled").withColumnRenamed("rank", "pos")
         return written(expansion.appended(ordered, tests).drop("stage", "line_start").withColumnRenamed("pos", "rank"))
 
-    def search_semantic(self, query: str | list[str], top_k: int | None = None, extension: str | None = None, prefix: str | None = None) -> DataFrame:
+    def search_semantic(self, query: str | list[str], top_k: int | None = None, extension: str | None = None, prefix: str | None = None, file_filter: str | None = None) -> DataFrame:
         """By meaning. Queries with technical terms are asked in both wordings and fused; others pass the threshold and type boosts."""
         self._ready()
+        extension, prefix = text.file_filter(file_filter, extension, prefix)
         k, chunks, queries = self._k(top_k), self.chunks(extension, prefix), self._queries(query)
         queries = written(queries.withColumn("technical", text.technical_query(F.col("query"))))
         first = written(retrieval.vector_top_k(chunks, self._vectors(queries, "query"), 2 * k))
@@ -168,17 +169,19 @@ class Engine:
         boosted = retrieval.ranked(boosted, [F.col("score").desc(), "chunk_id"])
         return self._expanded(fused.unionByName(boosted), chunks, k, extension)
 
-    def search_exact(self, query: str | list[str], top_k: int | None = None, extension: str | None = None, prefix: str | None = None) -> DataFrame:
+    def search_exact(self, query: str | list[str], top_k: int | None = None, extension: str | None = None, prefix: str | None = None, file_filter: str | None = None) -> DataFrame:
         """By words of content, name and path; classes first. Nothing is expanded."""
         self._ready()
+        extension, prefix = text.file_filter(file_filter, extension, prefix)
         k, chunks = self._k(top_k), self.chunks(extension, prefix)
         found = self._fts(self._queries(query), chunks, k)
         names = ("chunk_id", "file_path", "dir", "name", "chunk_type", "language")
         return ranking.by_type(found.join(chunks.select(*names), "chunk_id"))
 
-    def search_hybrid(self, query: str | list[str], top_k: int | None = None, extension: str | None = None, prefix: str | None = None) -> DataFrame:
+    def search_hybrid(self, query: str | list[str], top_k: int | None = None, extension: str | None = None, prefix: str | None = None, file_filter: str | None = None) -> DataFrame:
         """Meaning and words fused, then expanded and reranked."""
         self._ready()
+        extension, prefix = text.file_filter(file_filter, extension, prefix)
         k, chunks = self._k(top_k), self.chunks(extension, prefix)
         queries = written(self._queries(query).withColumn("technical", text.technical_query(F.col("query"))))
         first = written(retrieval.vector_top_k(chunks, self._vectors(queries, "query"), 2 * k))

@@ -157,3 +157,23 @@ def test_golden_set(spark, repo, tmp_path, monkeypatch):
     for bad in ({}, {"queries": [{"id": "a"}]}, {"queries": [one, one]}, {"queries": [one | {"difficulty": "odd"}]}):
         with pytest.raises(ConfigError):
             golden.load_golden(bad)
+
+
+def test_file_filter(spark, repo, tmp_path, monkeypatch):
+    engine = Engine(spark, str(repo), str(tmp_path / "home"))
+    engine.reindex()
+    files = lambda **given: {r["file_path"] for r in engine.search_exact("billing charge", **given).collect()}
+    assert files(file_filter="*.ts") == {"app/billing.ts"} and files(file_filter="tests/") == {"tests/test_billing.py"}
+    assert files(file_filter="*.ts", extension="py") == files(extension="py") != set()
+    asked = []
+
+    def chunks(extension=None, prefix=None):
+        asked.append((extension, prefix))
+        raise InterruptedError
+
+    monkeypatch.setattr(engine, "chunks", chunks)
+    for search in (engine.search_semantic, engine.search_hybrid):
+        for value in (".py", "src/"):
+            with pytest.raises(InterruptedError):
+                search("charge", file_filter=value)
+    assert asked == [(".py", None), (None, "src/")] * 2
