@@ -5,12 +5,11 @@ union scores best, leftmost first, until no pair is a piece.  No merge crosses
 a place whose two characters stand side by side in no piece, so a text falls
 into pre-tokens that merge on their own.  Distinct pre-tokens of a batch are
 held as one ragged numpy array; in each round every sequence applies its
-lowest-rank pair at once, and what survives is counted.
+lowest-rank pair wherever it stands, and what survives is counted.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from functools import lru_cache
 
@@ -20,8 +19,8 @@ from pyspark.sql import DataFrame
 from .common import WordMemory, map_texts
 
 SPACE = "▁"
-#: Sequences above this many symbols (base64 runs and the like) take a heap instead of rounds: same merges, n log n steps.
-LONG = 768
+#: Slots of a block; a round looks at the least rank of each block, and at the slots of those blocks alone that hold its sequence's best.
+BLOCK = 16
 NONE = np.int64(1) << 62
 
 
@@ -57,7 +56,6 @@ class PieceCounter:
         self.keys = np.concatenate([np.array(keys, np.int64)[by], [np.iinfo(np.int64).max]])
         self.ranks = np.concatenate([np.array(ranks, np.int64)[by], [0]])
         self.made = np.concatenate([np.array(made, np.int64)[by], [0]])
-        self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
         if any(SPACE in p.lstrip(SPACE) for p, _ in known):
             raise ValueError("a piece holds a space after another character; pre-tokens can't be cut at spaces")
         lines = not any("\n" in p for p, _ in known)
@@ -85,9 +83,7 @@ class PieceCounter:
             own = [get(c, unknown) for c in word.replace(" ", SPACE)]
             if unknown in own:  # byte fallback: an unknown character counts its bytes, of which one is counted as a symbol
                 counts[n] += sum(len(c.encode()) - 1 for c, k in zip(word.replace(" ", SPACE), own, strict=True) if k == unknown)
-            if len(own) > LONG:
-                counts[n] += self._by_heap(own)
-            elif own:
+            if own:
                 rows.append(n)
                 sizes.append(len(own))
                 symbols += own
@@ -96,72 +92,71 @@ class PieceCounter:
         return counts
 
     def _by_rounds(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Surviving symbols of each sequence; every round applies one pair in each sequence that still has one."""
+        """Surviving symbols of each sequence; every round applies the best pair of each sequence that still has one.
+
+        All places of the best pair go at once, from the left and without overlap, up to the first merge that makes a
+        pair as good: what is behind that waits for the next round, as it would where pairs go one by one.
+        Sequences lie in blocks of slots, linked to their neighbours, so a round costs a look at each
+        block and work on what it merges, however long a sequence is.
+        """
+        blocks = -(-sizes // BLOCK)
+        first_block = np.concatenate([[0], np.cumsum(blocks)])
+        owner = np.repeat(np.arange(len(sizes)), blocks)
+        begin = first_block[:-1] * BLOCK
+        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(symbols))
+        symbol = np.zeros(first_block[-1] * BLOCK, np.int64)
+        symbol[at] = symbols
+        after, before = np.full(len(symbol), -1), np.full(len(symbol), -1)
+        inner = np.flatnonzero(np.diff(np.repeat(np.arange(len(sizes)), sizes)) == 0)
+        after[at[inner]], before[at[inner + 1]] = at[inner + 1], at[inner]
+        rank = np.full(len(symbol), NONE)
+        rank[at[inner]], _ = self.lookup(symbols[inner], symbols[inner + 1])
+        by_block = rank.reshape(-1, BLOCK)
+        least = by_block.min(1)
         left = sizes.copy()
-        live = np.arange(len(sizes))
-        rank = np.full(len(symbols), NONE)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        inner = np.flatnonzero(owner[:-1] == owner[1:])
-        rank[inner], _ = self.lookup(symbols[inner], symbols[inner + 1])
-        while len(live):
-            starts = np.concatenate([[0], np.cumsum(left[live])[:-1]])
-            best = np.minimum.reduceat(rank, starts)
+        live, look = np.arange(len(sizes)), np.arange(len(least))
+        while True:
+            starts = np.concatenate([[0], np.cumsum(blocks[live])[:-1]])
+            best = np.minimum.reduceat(least[look], starts)
             on = best < NONE
             if not on.all():  # finished sequences leave
-                stay = np.repeat(on, left[live])
-                symbols, rank, live, best = symbols[stay], rank[stay], live[on], best[on]
-                if not len(live):
-                    break
-                starts = np.concatenate([[0], np.cumsum(left[live])[:-1]])
-            lengths = left[live]
-            hits = np.flatnonzero(rank == np.repeat(best, lengths))
-            seq = np.searchsorted(starts, hits, "right") - 1
-            first = np.ones(len(hits), bool)
-            first[1:] = seq[1:] != seq[:-1]
-            at = hits[first]  # the leftmost best pair of each sequence, in order
-            _, made = self.lookup(symbols[at], symbols[at + 1])
-            symbols[at] = made
-            rank[at] = rank[at + 1]
-            stay = np.ones(len(symbols), bool)
-            stay[at + 1] = False
-            symbols, rank = symbols[stay], rank[stay]
-            at = at - np.arange(len(at))
-            left[live] -= 1
-            lengths = lengths - 1
-            ends = np.cumsum(lengths)
-            begins = ends - lengths
-            after = at[at + 1 < ends]
-            rank[at] = NONE
-            rank[after], _ = self.lookup(symbols[after], symbols[after + 1])
-            before = at[at > begins] - 1
-            rank[before], _ = self.lookup(symbols[before], symbols[before + 1])
-        return left
-
-    def _by_heap(self, symbols: list[int]) -> int:
-        n = len(symbols)
-        following, previous = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def offer(i: int) -> None:
-            j = following[i]
-            if j < n and (found := self.pairs.get(symbols[i] * self.base + symbols[j])):
-                heapq.heappush(heap, (found[0], i, symbols[i], j, symbols[j], found[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        alive, gone = n, [False] * n
-        while heap:
-            _, i, a, j, b, made = heapq.heappop(heap)
-            if gone[i] or gone[j] or following[i] != j or symbols[i] != a or symbols[j] != b:
-                continue
-            symbols[i], gone[j], following[i] = made, True, following[j]
-            if following[j] < n:
-                previous[following[j]] = i
-            alive -= 1
-            offer(i)
-            if previous[i] >= 0:
-                offer(previous[i])
-        return alive
+                look, live, best = look[np.repeat(on, blocks[live])], live[on], best[on]
+            if not len(live):
+                return left
+            goal = np.repeat(best, blocks[live])
+            holds = least[look] == goal
+            row, column = np.nonzero(by_block[look[holds]] == goal[holds, None])
+            here = look[holds][row] * BLOCK + column
+            # of places that overlap, every second one from the left
+            linked = np.concatenate([[False], after[here[:-1]] == here[1:]])
+            place = np.arange(len(here))
+            here = here[(place - np.maximum.accumulate(np.where(linked, 0, place))) % 2 == 0]
+            there = after[here]
+            _, made = self.lookup(symbol[here], symbol[there])
+            ahead, behind = before[here], after[there]
+            # a neighbour on the left that goes in this round is what it becomes, one on the right is what it still is
+            beside = symbol[ahead]
+            beside[1:] = np.where(ahead[1:] == there[:-1], made[:-1], beside[1:])
+            risky = (ahead >= 0) & (self.lookup(beside, made)[0] <= rank[here])
+            risky |= (behind >= 0) & (self.lookup(made, symbol[behind])[0] <= rank[here])
+            if risky.any():
+                seq = owner[here // BLOCK]
+                earlier = np.cumsum(risky) - risky
+                keep = earlier == earlier[np.searchsorted(seq, seq)]
+                here, there, made = here[keep], there[keep], made[keep]
+            symbol[here] = made
+            behind = after[there]
+            after[here] = behind
+            some = behind >= 0
+            before[behind[some]] = here[some]
+            rank[there] = NONE
+            left -= np.bincount(owner[here // BLOCK], minlength=len(left))
+            rank[here] = NONE
+            ahead = before[here]
+            for one in (here[some], ahead[ahead >= 0]):
+                rank[one], _ = self.lookup(symbol[one], symbol[after[one]])
+            touched = np.concatenate([here, there, ahead[ahead >= 0]]) // BLOCK
+            least[touched] = by_block[touched].min(1)
 
     def cut(self, text: str) -> list[str]:
         return self.split(" " + text.replace(SPACE, " ")) if text else []

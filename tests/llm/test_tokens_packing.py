@@ -28,10 +28,16 @@ def test_counts_are_the_librarys():
     assert PieceCounter(PIECE).count_texts(texts) == [len(x) for x in lib.encode(texts, num_threads=1)]
 
 
-def test_long_runs_and_rounds_agree():
-    c = PieceCounter(PIECE)
-    words = ["ab" * 100, "the" * 120, "x" * 300]
-    assert c.count_words(words).tolist() == [c._by_heap([c.ids[x] for x in w]) for w in words]
+def test_runs_of_any_length():
+    import base64
+
+    import sentencepiece
+
+    random.seed(3)
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    runs = ["".join(random.choice(signs) for _ in range(n)) for signs in ("ab", "=-*#", "abcdefghijklmnopqrstuvwxyz") for n in (15, 16, 17, 767, 768, 769, 5000)]
+    runs += ["ab" * 100, "the" * 120, "x" * 300, "=" * 40_000, base64.b64encode(random.randbytes(60_000)).decode()]
+    assert PieceCounter(PIECE).count_texts(runs) == [len(x) for x in lib.encode(runs, num_threads=1)]
 
 
 def test_ids_are_the_librarys():
