@@ -27,9 +27,8 @@ from .common import held_out, map_texts, written
 UNTAUGHT = (-5.0, 1.0, 16.0, 14.0)
 #: Labelled documents that a model is fitted on, at most (by hash of the id).
 SAMPLE = 12_000
-#: Lexicon entries and exception phrases, at most.
-ENTRIES, PHRASES = 4_000, 2_000
-#: Toxic documents of the sample that must hold an entry, and by how much more often they must hold it.
+#: Documents of the sample that must hold an entry or a phrase, and by how much more often toxic ones must hold an entry. What the
+#: lexicon collects follows from the sample alone, SUPPORT documents a candidate; there is no other bound on it.
 SUPPORT, LIFT = 6, 4.0
 #: Candidates that a task holds before it hands them on.
 HELD = 150_000
@@ -195,11 +194,8 @@ def beginnings(text: str) -> set[str]:
     """Distinct candidates of a text: word beginnings and whole words."""
     out = set()
     for w in set(WORDS(folded(text))):
-        n = len(w)
-        if n < 3 or n > 40 or w.isdigit():
-            continue
         out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in range(SHORTEST, min(n, LONGEST) + 1))
+        out.update(f" {w[:k]}" for k in range(SHORTEST, min(len(w), LONGEST) + 1))
     return out
 
 
@@ -215,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
         often = _counts(sample, beginnings, "entry").filter((F.col("pos") >= SUPPORT) | (F.col("neg") >= SUPPORT) | F.col("entry").isin([f" {w} " for w in SEED]))
         found = written(often).withColumn("w", log_odds)
         top = found.filter((F.col("pos") >= SUPPORT) & (F.col("w") >= math.log(LIFT)))
-        rows = top.orderBy(F.col("pos").desc(), "entry").limit(ENTRIES).collect()
+        rows = top.collect()
         seen = {r["entry"]: r["w"] for r in found.filter(F.col("entry").isin([f" {w} " for w in SEED])).collect()}
         learned = prune({r["entry"]: (r["pos"], r["neg"], r["w"]) for r in rows})
         seeds = {f" {w} ": SEED_WEIGHT for w in SEED if seen.get(f" {w} ", 1.0) > 0 and not any(f" {w} ".startswith(e) for e in learned)}
@@ -229,7 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
             by_length.setdefault(len(s), []).append(s)
         for n, group in by_length.items():
             under = under | F.substring("entry", 1, n).isin(group)
-        for r in harmless.filter(under).orderBy(F.col("neg").desc(), "entry").limit(ENTRIES).collect():
+        for r in harmless.filter(under).collect():
             entries[r["entry"]] = 0.0
         raw = tuple(sorted(entries.items()))
 
@@ -243,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
             return out
 
         exempt = _counts(sample, around, "phrase").withColumn("w", log_odds).filter((F.col("neg") >= SUPPORT) & (F.col("w") < math.log(LIFT) / 2))
-        phrases = frozenset(r["phrase"] for r in exempt.orderBy(F.col("neg").desc(), "phrase").limit(PHRASES).collect())
+        phrases = frozenset(r["phrase"] for r in exempt.collect())
 
         def measure(batches):
             import pandas as pd
