@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<start:long,rank:int,end:long,kind:string,score:double>>"
+#: Code points in a piece of a text: a place in it is found by its piece, and not by reading up to it.
+PIECE = 256
 
 
 @dataclass(frozen=True)
@@ -93,33 +95,69 @@ def _longest(check: str, match: Column) -> Column:
     return F.try_element_at(F.filter(runs, lambda run: _valid(check, run)), F.lit(1))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), the value made once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _folded(items: Column, state: Column, none: Column, step) -> Column:
+    """Rows that step makes of items in order: step(state, item) gives the next state and an array of rows; none is an empty one.
+
+    An array grows by copying, so items are folded in blocks of about the root of their number, and only those
+    blocks' rows are joined: a text with very many spans stays far from the square of their number.
+    """
+    last = lambda x: F.floor(F.sqrt(F.size(x))).cast("int")
+    width = lambda x: F.ceil((F.size(x) + 1) / (last(x) + 1)).cast("int")
+    blocks = _once(items, lambda x: F.transform(F.sequence(F.lit(0), last(x)), lambda n: F.slice(x, n * width(x) + 1, width(x))))
+
+    def one(acc, item):
+        then, rows = step(acc["state"], item)
+        return F.struct(then.alias("state"), F.concat(acc["rows"], rows).alias("rows"))
+
+    def block(acc, own):
+        done = F.aggregate(own, F.struct(acc["state"].alias("state"), none.alias("rows")), one)
+        return _once(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["parts"], F.array(d["rows"])).alias("parts")))
+
+    start = F.struct(state.alias("state"), F.slice(F.array(none), 2, 1).alias("parts"))
+    return F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["parts"]))
+
+
+def _cut(pieces: Column, start: Column, length: Column) -> Column:
+    """A part of a text by its pieces of PIECE code points each."""
+    first, last = F.floor(start / PIECE), F.floor((start + F.greatest(length, F.lit(1)) - 1) / PIECE)
+    some = F.transform(F.sequence(first, last), lambda n: F.coalesce(F.try_element_at(pieces, (n + 1).cast("int")), F.lit("")))
+    return F.substr(F.array_join(some, ""), (start - first * PIECE + 1).cast("int"), length.cast("int"))
+
+
 def _apart(spans: Column, none: Column) -> Column:
     """Spans in order without those that begin inside an earlier one."""
-    free = lambda acc, s: s["start"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
-    return F.aggregate(spans, none, lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
 
+    def step(end, s):
+        free = s["start"] >= end
+        return F.when(free, s["end"]).otherwise(end), F.when(free, F.array(s)).otherwise(none)
+
+    return _folded(spans, F.lit(0).cast("long"), none, step)
 
-def _spans(kind: Kind, rank: int, text: Column, gaps: Column, matches: Column) -> Column:
+
+def _spans(kind: Kind, rank: int, pieces: Column, gaps: Column, matches: Column) -> Column:
     """Spans of a kind, out of the texts between its matches and the matches."""
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("g"), matches.alias("m"))
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("g"), matches.alias("m"))
     none = F.array().cast("array<struct<start:long,end:long,m:string>>")
-    start = lambda acc, p: acc["at"] + F.length(p["g"])
 
-    def step(acc, p):
-        end = start(acc, p) + F.length(p["m"])
-        one = F.struct(start(acc, p).cast("long").alias("start"), end.cast("long").alias("end"), p["m"].alias("m"))
-        return F.struct((start(acc, p) + kind.head if kind.head else end).cast("long").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def step(at, p):
+        start = at + F.length(p["g"])
+        end = start + F.length(p["m"])
+        return start + kind.head if kind.head else end, F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("m")))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    found = _folded(pairs, F.lit(0).cast("long"), none, step)
     if kind.head:
         kept = F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(_longest(kind.check, s["m"]))).cast("long").alias("end"), _longest(kind.check, s["m"]).alias("m")))
         found = _apart(F.filter(kept, lambda s: s["m"].isNotNull()), none)
     elif kind.check:
         found = F.filter(found, lambda s: _valid(kind.check, s["m"]))
     if kind.words:
-        before = lambda s: F.lower(F.substr(text, F.greatest(s["start"] - WINDOW, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(WINDOW)).cast("int")))
-        behind = lambda s: F.lower(F.substr(text, s["end"].cast("int") + 1, F.lit(WINDOW)))
-        near = lambda s: F.concat(before(s), F.lit("\n"), behind(s))
+        before = lambda s: _cut(pieces, F.greatest(s["start"] - WINDOW, F.lit(0)), F.least(s["start"], F.lit(WINDOW)))
+        near = lambda s: F.lower(F.concat(before(s), F.lit("\n"), _cut(pieces, s["end"], F.lit(WINDOW))))
         score = lambda s: F.lit(kind.base) + F.when(near(s).rlike(rf"(?:^|[^a-z])(?:{kind.words})"), kind.lift).otherwise(0.0)
     else:
         score = lambda s: F.lit(kind.base)
@@ -127,10 +165,11 @@ def _spans(kind: Kind, rank: int, text: Column, gaps: Column, matches: Column) -
     return out if rank < BASE else F.filter(out, lambda s: s["score"] >= THRESHOLD)
 
 
-def find_spans(docs: DataFrame, *keep: str) -> DataFrame:
+def find_spans(docs: DataFrame, *keep: str, pieces: bool = False) -> DataFrame:
     """doc_id, text (null as empty), spans by start and kind, and the columns named in keep.
 
-    Kinds are found apart, so spans of two kinds may overlap.  Texts without what a kind needs
+    A span's score is its kind's own and what words nearby add; kinds beyond the base ones need THRESHOLD.  Rows
+    without a doc_id are worked on as others.  Kinds are found apart, so spans of two kinds may overlap.  Texts without what a kind needs
     cost one scan for it.  Empty texts have no spans; repeated rows stay repeated; an empty table
     gives an empty result; other columns are not read.
     """
@@ -145,36 +184,33 @@ def find_spans(docs: DataFrame, *keep: str) -> DataFrame:
     frame = frame.select("*", *parts)
     gaps = [F.when(F.size(f"_m_{k.name}") > 0, F.split(text, k.pattern, -1)).alias(f"_g_{k.name}") for k in KINDS]
     frame = frame.select("*", *gaps)
-    found = [F.when(F.size(f"_m_{k.name}") > 0, _spans(k, n, text, F.col(f"_g_{k.name}"), F.col(f"_m_{k.name}"))) for n, k in enumerate(KINDS)]
+    any_match = F.greatest(*(F.coalesce(F.size(f"_m_{k.name}"), F.lit(0)) for k in KINDS)) > 0
+    frame = frame.select("*", F.when(any_match, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("_pieces"))
+    found = [F.when(F.size(f"_m_{k.name}") > 0, _spans(k, n, F.col("_pieces"), F.col(f"_g_{k.name}"), F.col(f"_m_{k.name}"))) for n, k in enumerate(KINDS)]
     some = [F.coalesce(x, F.array().cast(SPANS)) for x in found]
-    return frame.select("doc_id", *keep, "text", F.array_sort(F.concat(*some)).alias("spans"))
+    return frame.select("doc_id", *keep, "text", F.array_sort(F.concat(*some)).alias("spans"), *(["_pieces"] if pieces else []))
 
 
 def _tops(spans: Column) -> Column:
     """Spans to mask: by start, those that begin inside an earlier one joined to it."""
-    none = F.array().cast(SPANS)
-
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        inside = (F.size(acc) > 0) & (s["start"] < F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1)))
-        joined = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"), last["score"].alias("score"))
-        return F.when(inside, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(spans, none, step)
+    row = "struct<start:long,end:long,kind:string,past:long>"
+    # past: where all spans in front of this one have ended
+    step = lambda past, s: (F.greatest(past, s["end"]), F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), past.alias("past"))))
+    heads = F.filter(_folded(spans, F.lit(0).cast("long"), F.array().cast(f"array<{row}>"), step), lambda s: s["start"] >= s["past"])
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    ends = lambda h: F.concat(F.slice(F.transform(h, lambda s: s["past"]), F.lit(2), F.size(h)), F.array(last))
+    joined = lambda h: F.zip_with(h, ends(h), lambda s, end: F.struct(s["start"].alias("start"), end.alias("end"), s["kind"].alias("kind"), s["past"].alias("past")))
+    return _once(heads, joined)
 
 
 def redact(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, text with each span replaced by its kind in brackets, n_spans, and the columns named in keep; as find_spans else."""
-    found = find_spans(docs, *keep)
-    text = F.col("text")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        between = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(between, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
-
-    masked = F.aggregate(_tops(F.col("spans")), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))
-    return found.select("doc_id", *keep, F.when(F.size("spans") > 0, masked).otherwise(text).alias("text"), F.size("spans").alias("n_spans"))
+    found = find_spans(docs, *keep, pieces=True).withColumn("_tops", F.when(F.size("spans") > 0, _tops(F.col("spans"))))
+    pieces, text, tops = F.col("_pieces"), F.col("text"), F.col("_tops")
+    masked = F.transform(tops, lambda s: F.concat(_cut(pieces, s["past"], s["start"] - s["past"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    end = F.element_at(tops, -1)["end"]
+    whole = F.concat(F.array_join(masked, ""), _cut(pieces, end, F.length(text) - end))
+    return found.select("doc_id", *keep, F.when(F.size("spans") > 0, whole).otherwise(text).alias("text"), F.size("spans").alias("n_spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -60,6 +60,42 @@ def test_redaction(docs):
     assert pii.redact(docs()).collect() == []
 
 
+def test_texts_of_very_many_spans(docs):
+    """Time follows the number of spans: a megabyte of them takes seconds, and is masked as a short text is."""
+    import time
+
+    unit = "ip 10.0.0.1 a@b.co +1 (555) 123-4567\n"
+    took = []
+    for n in (50, 27_000):
+        began = time.time()
+        found = pii.digest(pii.find_spans(docs(unit * n))).collect()[0]
+        assert (found["n_ip"], found["n_email"], found["n_phone"]) == (n, n, n)
+        assert pii.redact(docs(unit * n)).collect()[0]["text"] == "ip [IP] [EMAIL] [PHONE]\n" * n
+        took.append(time.time() - began)
+    assert took[1] < 60
+
+
+def test_pieces_against_slices(docs):
+    """Context windows and masked texts whose places lie around the ends of pieces, beyond the basic plane as well."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(300):
+        fill = "".join(rng.choice("ab 😀é\n") for _ in range(rng.randint(0, 700)))
+        texts.append(fill + rng.choice(["card ", "", "tel "]) + "4539148803436467" + rng.choice([" card", "", "x" * 300]) + " a@b.co,10.0.0.1@x.y")
+    rows = {r["doc_id"]: r for r in pii.find_spans(docs(*texts)).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(docs(*texts)).collect()}
+    for i, t in enumerate(texts):
+        out, past = [], 0
+        for s in rows[i]["spans"]:
+            if s["kind"] == "card":
+                around = (t[max(0, s["start"] - 40) : s["start"]] + "\n" + t[s["end"] : s["end"] + 40]).lower()
+                assert (s["score"] > 0.8) == bool(re.search("(?:^|[^a-z])(?:card|visa|credit|debit|payment)", around))
+            if s["start"] >= past:
+                out += [t[past : s["start"]], f"[{s['kind'].upper()}]"]
+            past = max(past, s["end"])
+        assert masked[i] == "".join(out) + t[past:]
+
+
 def test_no_python_in_the_plans(spark, docs):
     for df in (pii.digest(pii.find_spans(docs("a"))), pii.redact(docs("a")), mixing.mix(docs("a b"))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
