@@ -1,14 +1,19 @@
 """Nearest neighbours over randomly rotated one-bit codes.
 
-An index row holds a block of vectors: their mean, and for each vector the signs of its
-rotated, centred and normalised self, packed to bits, with two correction scalars: its distance from the
-mean, and how well the signs stand for it.  From the bits, a query gets an unbiased estimate of every
-inner product and a bound on its error; only vectors whose upper bound reaches the best found so
-far are reranked on their original components.
+Rows fall into cells by their nearest centre, and each cell into blocks.  A block holds its mean, and for each of its distinct vectors
+the signs of the rotated vector's distance from the mean, packed to bits, with correction scalars: how long that distance is,
+how well the signs stand for it, and how many signs are positive.  A query is rotated as well and rounded to four bits a
+dimension; bits of both, combined and counted, estimate every inner product of a block, and bounds on the
+error choose the vectors that are reranked on their original components.
+
+A query first visits the block whose mean is nearest, which tells what score its result has to reach, and then
+every block whose own bound reaches that.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,177 +22,305 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-#: Vectors in an index block, queries in a query block, and index blocks that one task goes through.
-BLOCK, QUERIES, STRIPE = 4096, 512, 16
-#: Width of the error bound in standard errors of the one-bit code.
-WIDTH = 2.6
-INDEX = "block long, n int, dim int, ids binary, mean binary, codes binary, norms binary, fits binary, vectors binary"
-
-
+#: Rows in an index block, about; queries in a query block; blocks that a query block is compared with by their means in one task.
+BLOCK, QUERIES, PAGE = 4096, 2048, 2048
+#: Rows that centres are fitted on, about, and centres at most: the only part that doesn't read every row. Rows of more cells lie in further blocks.
+SAMPLE, CELLS = 32_768, 512
+#: Width of the error bounds, in standard errors: of the one-bit code of a vector, and of the best inner product in a block.
+WIDTH, REACH = 2.6, 5.0
+#: Bits of a rounded query component.
+PLANES = 4
+#: Queries whose estimates are made together.
+TILE = 32
+INDEX = "block long, dim int, n int, mean binary, spread double, codes binary, scales binary, errors binary, positive binary, vectors binary, offsets binary, ids binary, rows binary"
+FOUND = "query_row long, query_id long, vec_id long, row long, score double"
+
+
+@lru_cache(maxsize=2)
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
-    """A random orthogonal matrix, the same for one dimension and seed everywhere."""
+    """A random orthogonal matrix, the same for one dimension and seed everywhere; made once in a worker."""
     q, r = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector): one row for each id (of several the largest vector), without null, zero, empty or non-finite ones."""
+    """(row, vec_id, vector) of every row with an id, without null, zero, empty or non-finite vectors; components keep their type."""
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
     v = F.col("vector")
-    found = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    found = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
     big = F.lit(1.7976931348623157e308)
     good = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) <= big)) & F.exists(v, lambda x: x != 0)
-    return found.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & good).groupBy("vec_id").agg(F.max("vector").alias("vector"))
+    return found.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & good).withColumn("row", F.monotonically_increasing_id())
 
 
-def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, packed signs, norms, fits) of a block; fit is the inner product of a unit residual and its code."""
-    dim = vectors.shape[1]
-    mean = vectors.mean(0)
-    turned = (vectors - mean) @ rotation(dim)
-    norms = np.linalg.norm(turned, axis=1)
-    signs = turned >= 0
-    fits = np.abs(turned).sum(1) / (np.sqrt(dim) * np.maximum(norms, 1e-300))
-    return mean, np.packbits(signs, axis=1), norms, np.where(norms > 0, fits, 1.0)
+def centres(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """Centres of each dimension's cells, fitted on a sample of about SAMPLE rows by hash of the row."""
+    part = 1 << 20
+    some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(part)) < max(1, min(part, part * SAMPLE // max(1, count))))
 
+    def fit(pdf):
+        x = np.stack(pdf["vector"]).astype(float)
+        rows_of_dim = count * len(x) / min(count, SAMPLE)
+        k = max(1, min(CELLS, len(x) // 16, round(rows_of_dim / BLOCK)))
+        own = x[np.random.default_rng(3).choice(len(x), k, replace=False)]
+        for _ in range(6 if k > 1 else 0):
+            at = cells_of(x, own)
+            sums = np.zeros_like(own)
+            np.add.at(sums, at, x)
+            size = np.bincount(at, minlength=k)
+            own = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], own)
+        return pd.DataFrame({"dim": [x.shape[1]], "k": [k], "own": [own.tobytes()]})
 
-def build_index(vectors: DataFrame) -> DataFrame:
-    """Index rows over (vec_id, vector): blocks of at most BLOCK vectors of one dimension, every vector in one of them."""
+    fitted = some.withColumn("dim", F.size("vector")).groupBy("dim").applyInPandas(fit, "dim int, k int, own binary").collect()
+    return {r["dim"]: np.frombuffer(r["own"]).reshape(r["k"], r["dim"]) for r in fitted}
 
-    def run(batches):
-        held: dict[int, list] = {}
 
-        def block(dim):
-            ids, own = zip(*held.pop(dim), strict=True)
-            x = np.stack(own)
-            mean, codes, norms, fits = encode(x)
-            row = (len(ids), dim, np.array(ids, "<i8"), mean, codes, norms, fits, x)
-            return {"block": [0], "n": [row[0]], "dim": [row[1]]} | {k: [v.tobytes()] for k, v in zip(("ids", "mean", "codes", "norms", "fits", "vectors"), row[2:], strict=True)}
+def cells_of(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The nearest centre of each vector."""
+    return np.argmin((own**2).sum(1) - 2 * (x @ own.T), axis=1)
 
-        for pdf in batches:
-            for i, v in zip(pdf["vec_id"], pdf["vector"], strict=True):
-                held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) == BLOCK:
-                    yield pd.DataFrame(block(len(v)))
-        for dim in list(held):
-            yield pd.DataFrame(block(dim))
 
-    return vectors.mapInPandas(run, INDEX).withColumn("block", F.monotonically_increasing_id())
+def build_index(rows: DataFrame) -> DataFrame:
+    """Index rows over (row, vec_id, vector): every row in one block of about BLOCK rows of one cell and dimension."""
+    count = rows.count()
+    own = centres(rows, count)
+
+    def assign(batches):
+        for pdf in batches:
+            size = pdf["vector"].map(len)
+            cell = np.zeros(len(pdf), np.int32)
+            for dim in size.unique():
+                if dim in own and len(own[dim]) > 1:
+                    at = np.flatnonzero(size == dim)
+                    cell[at] = cells_of(np.stack(pdf["vector"].iloc[at]).astype(float), own[dim])
+            yield pdf.assign(dim=size.astype("int32"), cell=cell)
+
+    kind = dict(rows.dtypes)["vector"]
+    dealt = written(rows.select("row", "vec_id", "vector").mapInPandas(assign, f"row long, vec_id long, vector {kind}, dim int, cell int"))
+    # a row for each cell: at most CELLS a dimension
+    sizes = dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = dealt.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+
+    def block(key, pdf):
+        return pd.DataFrame([encode(pdf)])
+
+    return dealt.groupBy("dim", "cell", "part").applyInPandas(block, INDEX).withColumn("block", F.monotonically_increasing_id())
+
+
+def encode(pdf: pd.DataFrame) -> dict:
+    """An index row: equal vectors share one code, their rows stand in order of their ids."""
+    pdf = pdf.sort_values(["vec_id", "row"])
+    every = np.stack(pdf["vector"])
+    x, back = np.unique(every, axis=0, return_inverse=True)
+    back = back.ravel()
+    order = np.argsort(back, kind="stable")
+    dim = x.shape[1]
+    with np.errstate(all="ignore"):  # components near the largest number overflow; what isn't a number is reranked
+        mean = every.astype(float).mean(0)
+        apart = x - mean
+        turned = apart @ rotation(dim)
+        norms = np.linalg.norm(turned, axis=1)
+        fits = np.abs(turned).sum(1) / (np.sqrt(dim) * np.maximum(norms, 1e-300))
+        fits = np.where(norms > 0, fits, 1.0)
+        spread = np.sqrt(max(0.0, np.linalg.eigvalsh(apart.T @ apart / len(x))[-1])) if np.isfinite(norms).all() else np.inf
+        spread = min(REACH * spread, norms.max()) if np.isfinite(spread) else np.inf
+        scales = norms / fits / np.sqrt(dim)
+        errors = norms * np.sqrt(np.maximum(1 - fits**2, 0)) / fits / np.sqrt(max(dim - 1, 1))
+    bits = np.zeros((len(x), -(-dim // 64) * 64), bool)
+    bits[:, :dim] = turned >= 0
+    return {
+        "block": 0,
+        "dim": dim,
+        "n": len(x),
+        "mean": mean.tobytes(),
+        "spread": float(spread),
+        "codes": np.packbits(bits, axis=1).tobytes(),
+        "scales": scales.tobytes(),
+        "errors": errors.tobytes(),
+        "positive": bits.sum(1).astype(np.int32).tobytes(),
+        "vectors": x.tobytes(),
+        "offsets": np.searchsorted(back[order], np.arange(len(x) + 1)).astype(np.int64).tobytes(),
+        "ids": pdf["vec_id"].to_numpy(np.int64)[order].tobytes(),
+        "rows": pdf["row"].to_numpy(np.int64)[order].tobytes(),
+    }
+
+
+class Rounded:
+    """Rotated queries, rounded to PLANES bits a dimension: planes of packed bits, and what turns counts back to inner products."""
+
+    def __init__(self, q: np.ndarray):
+        turned = q @ rotation(q.shape[1])
+        self.low = turned.min(1)
+        self.step = np.maximum((turned.max(1) - self.low) / (2**PLANES - 1), 1e-300)
+        level = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.sum = self.low * q.shape[1] + self.step * level.sum(1)
+        bits = np.zeros((len(q), PLANES, -(-q.shape[1] // 64) * 64), bool)
+        for p in range(PLANES):
+            bits[:, p, : q.shape[1]] = level >> p & 1
+        self.planes = np.packbits(bits, axis=2).view(np.uint64)
+        self.norm = np.linalg.norm(q, axis=1)
+        # rounding moves a component by step / sqrt(12), one standard error
+        self.error = np.sqrt(q.shape[1] / 12) * self.step
+
+    def counts(self, some: slice, codes: np.ndarray) -> np.ndarray:
+        """Sums over the positive signs of each code of the rounded components."""
+        planes = self.planes[some]
+        total = np.zeros((len(planes), len(codes)), np.int32 if codes.shape[1] > 32 else np.uint16)
+        for w in range(codes.shape[1]):
+            own = np.ascontiguousarray(codes[:, w])
+            for p in range(PLANES):
+                total += np.bitwise_count(planes[:, p, w, None] & own).astype(total.dtype) << p
+        return total
+
+
+def scan(block, qrows: np.ndarray, qids: np.ndarray, q: np.ndarray, reach: np.ndarray, k: int, kind) -> pd.DataFrame:
+    """Of a block, the rows that may be among the k best of each query, reach being the score that a query's result has to reach."""
+    dim = q.shape[1]
+    view = lambda name, kind=np.float64: np.frombuffer(getattr(block, name), kind)
+    x, codes = view("vectors", kind).reshape(-1, dim), view("codes", np.uint8).reshape(block.n, -1).view(np.uint64)
+    scales, errors, positive, offsets, ids, rows = view("scales"), view("errors"), view("positive", np.int32), view("offsets", np.int64), view("ids", np.int64), view("rows", np.int64)
+    rounded, centre = Rounded(q), q @ view("mean")
+    out = []
+
+    def exact(r, c):
+        score = np.empty(len(r))
+        for at in range(0, len(r), 65_536):
+            s = slice(at, at + 65_536)
+            score[s] = np.einsum("ij,ij->i", q[r[s]], x[c[s]].astype(float))
+        return score
+
+    for at in range(0, len(q), TILE):
+        some = slice(at, min(at + TILE, len(q)))
+        with np.errstate(all="ignore"):
+            counts = rounded.counts(some, codes)
+            # estimate = centre + scale * (2 * (low * positive + step * count) - sum), a product of few columns but for the counts
+            of_query = np.stack([centre[some], 2 * rounded.low[some], -rounded.sum[some]], 1)
+            of_code = np.stack([np.ones(len(scales)), scales * positive, scales])
+            estimate = of_query @ of_code + (2 * rounded.step[some])[:, None] * scales * counts
+            slack = WIDTH * np.sqrt((rounded.norm[some] ** 2)[:, None] * errors**2 + ((2 * rounded.error[some]) ** 2)[:, None] * scales**2)
+            upper = estimate + slack + 1e-9 * np.abs(estimate)
+            least = reach[some].copy()
+            blind = np.flatnonzero(~np.isfinite(least))
+            if len(blind):  # nothing is known yet: the likeliest tell what has to be reached
+                first = min(k, block.n)
+                likely = np.argpartition(-estimate[blind], first - 1, axis=1)[:, :first]
+                score = exact(at + np.repeat(blind, first), likely.ravel()).reshape(-1, first)
+                if first == k:
+                    least[blind] = score.min(1)
+            r, c = np.nonzero(~(upper < least[:, None]))
+        score = exact(at + r, c)
+        good = ~(score < least[r])
+        r, c, score = r[good], c[good], score[good]
+        # of equal vectors the k smallest ids are enough
+        take = np.minimum(offsets[c + 1] - offsets[c], k)
+        one = np.repeat(np.arange(len(c)), take)
+        place = offsets[c][one] + np.arange(len(one)) - np.repeat(np.cumsum(take) - take, take)
+        r, score, vec, row = r[one], score[one], ids[place], rows[place]
+        order = np.lexsort((row, vec, -score, r))
+        r, score, vec, row = r[order], score[order], vec[order], row[order]
+        top = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r = at + r[top]
+        out.append(pd.DataFrame({"query_row": qrows[r], "query_id": qids[r], "vec_id": vec[top], "row": row[top], "score": score[top]}))
+    return pd.concat(out)
 
 
 def _query_blocks(queries: DataFrame) -> DataFrame:
-    """(qblock, dim, n, ids, vectors): queries packed by QUERIES; queries of one dimension together."""
+    """(qblock, qdim, qrows, qids, qvectors): queries of one dimension packed by QUERIES."""
 
     def run(batches):
         held: dict[int, list] = {}
         pack = lambda rows, dim: pd.DataFrame(
-            {"qblock": [0], "qdim": [dim], "qids": [np.array([r[0] for r in rows], "<i8").tobytes()], "qvectors": [np.stack([r[1] for r in rows]).tobytes()]}
+            {"qblock": [0], "qdim": [dim]} | {n: [np.array([r[i] for r in rows], "<i8").tobytes()] for i, n in enumerate(("qrows", "qids"))} | {"qvectors": [np.stack([r[2] for r in rows]).astype(float).tobytes()]}
         )
         for pdf in batches:
-            for i, v in zip(pdf["vec_id"], pdf["vector"], strict=True):
-                held.setdefault(len(v), []).append((i, v))
+            for row, i, v in zip(pdf["row"], pdf["vec_id"], pdf["vector"], strict=True):
+                held.setdefault(len(v), []).append((row, i, v))
                 if len(held[len(v)]) == QUERIES:
                     yield pack(held.pop(len(v)), len(v))
         for dim, rows in held.items():
             yield pack(rows, dim)
 
-    return queries.mapInPandas(run, "qblock long, qdim int, qids binary, qvectors binary").withColumn("qblock", F.monotonically_increasing_id())
-
-
-class Best:
-    """The k best of each query so far: score descending, then the smaller id."""
-
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.scores = np.full((queries, k), -np.inf)
-        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
-
-    def offer(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        """Take in candidates (query row, id, score)."""
-        if not len(q):
-            return
-        touched = np.unique(q)
-        rows = np.concatenate([np.repeat(touched, self.k), q])
-        every_id = np.concatenate([self.ids[touched].ravel(), ids])
-        every = np.concatenate([self.scores[touched].ravel(), scores])
-        order = np.lexsort((every_id, -every, rows))
-        rows, every, every_id = rows[order], every[order], every_id[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        top = place < self.k
-        self.scores[rows[top], place[top]] = every[top]
-        self.ids[rows[top], place[top]] = every_id[top]
-
-
-def scan(best: Best, qids: np.ndarray, q: np.ndarray, block) -> int:
-    """Offer a block to the queries; how many vectors were reranked."""
-    dim = block.dim
-    x = np.frombuffer(block.vectors, np.float64).reshape(-1, dim)
-    ids = np.frombuffer(block.ids, np.int64)
-    norms, fits, mean = (np.frombuffer(b, np.float64) for b in (block.norms, block.fits, block.mean))
-    bits = np.unpackbits(np.frombuffer(block.codes, np.uint8).reshape(len(ids), -1), axis=1, count=dim)
-    turned = (q @ rotation(dim)).astype(np.float32)
-    code = (turned @ (2.0 * bits.astype(np.float32) - 1.0).T).astype(np.float64) / np.sqrt(dim)
-    estimate = (q @ mean)[:, None] + code * (norms / fits)
-    spread = norms * np.sqrt(np.maximum(1 - fits**2, 0)) / fits * (WIDTH / np.sqrt(max(dim - 1, 1)))
-    upper = estimate + np.linalg.norm(q, axis=1)[:, None] * spread + 1e-9
-    upper[qids[:, None] == ids[None, :]] = -np.inf
-    done = 0
-
-    def rerank(rows, cols):
-        for at in range(0, len(rows), 200_000):
-            r, c = rows[at : at + 200_000], cols[at : at + 200_000]
-            best.offer(r, ids[c], np.einsum("ij,ij->i", q[r], x[c]))
-        return len(rows)
-
-    # the likeliest first: they set how high an upper bound must reach
-    first = min(2 * best.k, len(ids))
-    likely = np.argpartition(-estimate, first - 1, axis=1)[:, :first]
-    rows = np.repeat(np.arange(len(q)), first)
-    cols = likely.ravel()
-    ok = (upper[rows, cols] >= best.scores[rows, -1]) & np.isfinite(upper[rows, cols])
-    done += rerank(rows[ok], cols[ok])
-    upper[rows, cols] = -np.inf
-    rows, cols = np.nonzero((upper >= best.scores[:, -1:]) & np.isfinite(upper))
-    return done + rerank(rows, cols)
+    packed = queries.select("row", "vec_id", "vector").mapInPandas(run, "qblock long, qdim int, qrows binary, qids binary, qvectors binary")
+    return packed.withColumn("qblock", F.monotonically_increasing_id())
+
+
+def _visits(packed: DataFrame, stats: DataFrame, pages: int, reach: DataFrame | None) -> DataFrame:
+    """(block, qblock, qrows, qids, qvectors, reach): which queries visit which block.
+
+    Without reach each query's nearest block of a page; with it (qblock, query_row, score) all others whose bound reaches it.
+    One row for a query block and an index block, whatever the number of queries in it.
+    """
+    met = packed.join(stats.select(F.col("dim").alias("qdim"), "page").distinct(), "qdim")
+    left = met if reach is None else met.join(reach.groupBy("qblock").agg(F.collect_list(F.struct("query_row", "score")).alias("known")), "qblock", "left")
+    right = stats.withColumnRenamed("page", "at").join(packed.select(F.col("qblock").alias("with"), F.col("qdim").alias("dim")), "dim")
+
+    def run(key, query, blocks):
+        columns = ("block", "qblock", "qrows", "qids", "qvectors", "reach")
+        if not len(query) or not len(blocks):
+            return pd.DataFrame({c: [] for c in columns})
+        query = query.iloc[0]
+        q = np.frombuffer(query["qvectors"]).reshape(-1, query["qdim"])
+        qrows, qids = np.frombuffer(query["qrows"], np.int64), np.frombuffer(query["qids"], np.int64)
+        blocks = blocks.sort_values("block")
+        with np.errstate(all="ignore"):
+            centre = q @ np.stack([np.frombuffer(m) for m in blocks["mean"]]).T
+            home = np.argmax(np.nan_to_num(centre, nan=np.inf), axis=1)
+            if "known" not in query:
+                least = np.full(len(q), -np.inf)
+                goes = np.arange(len(blocks)) == home[:, None]
+            else:
+                known = {k["query_row"]: k["score"] for k in (query["known"] if query["known"] is not None else ())}
+                least = np.array([known.get(r, -np.inf) for r in qrows.tolist()])
+                goes = ~(centre + np.linalg.norm(q, axis=1)[:, None] * blocks["spread"].to_numpy() < least[:, None])
+                goes[np.arange(len(q)), home] = False
+        rows = [(b, query["qblock"], qrows[g].tobytes(), qids[g].tobytes(), q[g].tobytes(), least[g].tobytes()) for b, g in zip(blocks["block"], goes.T, strict=True) if g.any()]
+        return pd.DataFrame(rows, columns=columns)
+
+    schema = "block long, qblock long, qrows binary, qids binary, qvectors binary, reach binary"
+    return left.groupBy("qblock", "page").cogroup(right.groupBy("with", "at")).applyInPandas(run, schema)
+
+
+def _visited(visits: DataFrame, index: DataFrame, k: int, kind) -> DataFrame:
+    """What scan() finds on each visit: a task holds one index block and one query block at a time."""
+    blocks = index.join(visits.select("block", F.col("qblock").alias("with")), "block").withColumnRenamed("block", "at")
+
+    def run(key, own, query):
+        if not len(own) or not len(query):
+            return pd.DataFrame({"qblock": [], "query_row": [], "query_id": [], "vec_id": [], "row": [], "score": []})
+        q, block = query.iloc[0], next(own.itertuples(index=False))
+        view = lambda name, kind=np.int64: np.frombuffer(q[name], kind)
+        found = scan(block, view("qrows"), view("qids"), view("qvectors", np.float64).reshape(-1, block.dim), view("reach", np.float64), k, kind)
+        return found.assign(qblock=key[1])[["qblock", *(c for c in found.columns)]]
+
+    return blocks.groupBy("at", "with").cogroup(visits.groupBy("block", "qblock")).applyInPandas(run, f"qblock long, {FOUND}")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k nearest by inner product, its own id left out.
+    """query_row, query_id, rank (from 1), vec_id, score: each query row's k nearest by inner product, itself left out.
 
-    Query blocks meet stripes of index blocks; a task holds one query block and goes through its stripe's
-    blocks one by one, keeping k a query.  Queries meet vectors of their own dimension.
-    Fewer candidates than k give fewer rows; ties go to the smaller id.
+    queries: row, vec_id, vector.  Queries meet vectors of their own dimension.  Fewer candidates than k give fewer rows; ties go to
+    the smaller id.
     """
+    kind = np.float32 if dict(queries.dtypes)["vector"] == "array<float>" else np.float64
     index, packed = written(index), written(_query_blocks(queries))
-    stripes = -(-max(1, index.count()) // STRIPE)
-    blocks = index.withColumn("stripe", F.pmod(F.xxhash64("block"), F.lit(stripes)))
-    # which query blocks go to which stripes: a row for each pair of blocks, not of vectors
-    met = written(packed.select("qblock", "qdim").join(blocks.select("stripe", F.col("dim").alias("qdim")).distinct(), "qdim").select("qblock", "stripe"))
-    left = packed.join(met, "qblock")
-    right = blocks.join(met.select(F.col("qblock").alias("with"), F.col("stripe").alias("at")), F.col("stripe") == F.col("at")).drop("stripe")
-
-    def run(key, query, own):
-        if not len(query) or not len(own):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        dim = int(query["qdim"].iat[0])
-        qids = np.frombuffer(query["qids"].iat[0], np.int64)
-        q = np.frombuffer(query["qvectors"].iat[0], np.float64).reshape(-1, dim)
-        best = Best(len(q), k)
-        for block in own.sort_values("block").itertuples(index=False):
-            if block.dim == dim:  # a stripe may hold blocks of other dimensions
-                scan(best, qids, q, block)
-        found = np.isfinite(best.scores)
-        return pd.DataFrame({"query_id": np.repeat(qids, found.sum(1)), "vec_id": best.ids[found], "score": best.scores[found]})
-
-    found = left.groupBy("qblock", "stripe").cogroup(right.groupBy("with", "at")).applyInPandas(run, "query_id long, vec_id long, score double")
-    best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    stats = index.select("block", "dim", "mean", "spread")
+    pages = -(-max(1, index.count()) // PAGE)
+    stats = stats.withColumn("page", F.pmod(F.xxhash64("block"), F.lit(pages)))
+    # one more than asked for: the query itself is among them
+    first = written(_visited(written(_visits(packed, stats, pages, None)), index, k + 1, kind))
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")
+    reach = first.withColumn("n", F.row_number().over(best)).filter(F.col("n") == k + 1).select("qblock", "query_row", "score")
+    second = _visited(written(_visits(packed, stats, pages, written(reach))), index, k + 1, kind)
+    others = first.unionByName(second).filter("row <> query_row")
+    return others.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
-    """search() of the rows that satisfy is_query against all rows.
+    """query_id, rank, vec_id, score: search() of the rows that satisfy is_query against all other rows.
 
-    Vectors that are null, zero, empty or hold null or non-finite components take no part; an id that repeats
-    counts once; an empty table gives an empty result; other columns are not read.
+    Vectors that are null, zero, empty or hold null or non-finite components take no part, nor do rows without an id.  Rows
+    that share an id are rows of their own: each is a candidate of the others, and each that is a query brings k rows under its id.
+    Equal vectors tie, the smaller id first; an empty table gives an empty result; other columns are not read.
     """
     rows = written(usable(vectors, id_col, vector_col))
-    return search(build_index(rows), rows.filter(is_query), k)
+    return search(build_index(rows), rows.filter(is_query), k).drop("query_row")
