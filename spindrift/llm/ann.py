@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from .common import written
 
 #: Rows in an index block, about; queries in a query block; blocks that a query block is compared with by their means in one task.
-BLOCK, QUERIES, PAGE = 4096, 2048, 2048
+BLOCK, QUERIES, PAGE = 4096, 4096, 2048
 #: Rows that centres are fitted on, about, and centres at most: the only part that doesn't read every row. Rows of more cells lie in further blocks.
 SAMPLE, CELLS = 32_768, 512
 #: Width of the error bounds, in standard errors: of the one-bit code of a vector, and of the best inner product in a block.
@@ -174,54 +174,59 @@ class Rounded:
 
 
 def scan(block, qrows: np.ndarray, qids: np.ndarray, q: np.ndarray, reach: np.ndarray, k: int, kind) -> pd.DataFrame:
-    """Of a block, the rows that may be among the k best of each query, reach being the score that a query's result has to reach."""
+    """Of a block, the rows that may be among the k best of each query, reach being the score that a query's result has to reach.
+
+    An upper bound is a sum of products of what belongs to the query and what belongs to the code, and of scale * step * count, so beside
+    the counting it takes one thin product of matrices.  The error of code and rounding together is a root; its tangent at
+    the block's mean, which lies above it, parts into such products.
+    """
     dim = q.shape[1]
     view = lambda name, kind=np.float64: np.frombuffer(getattr(block, name), kind)
-    x, codes = view("vectors", kind).reshape(-1, dim), view("codes", np.uint8).reshape(block.n, -1).view(np.uint64)
-    scales, errors, positive, offsets, ids, rows = view("scales"), view("errors"), view("positive", np.int32), view("offsets", np.int64), view("ids", np.int64), view("rows", np.int64)
+    x, codes = view("vectors", kind).reshape(-1, dim).astype(float), view("codes", np.uint8).reshape(block.n, -1).view(np.uint64)
+    scales, positive, offsets, ids, rows = view("scales"), view("positive", np.int32), view("offsets", np.int64), view("ids", np.int64), view("rows", np.int64)
     rounded, centre = Rounded(q), q @ view("mean")
-    out = []
-
-    def exact(r, c):
-        score = np.empty(len(r))
-        for at in range(0, len(r), 65_536):
-            s = slice(at, at + 65_536)
-            score[s] = np.einsum("ij,ij->i", q[r[s]], x[c[s]].astype(float))
-        return score
-
-    for at in range(0, len(q), TILE):
-        some = slice(at, min(at + TILE, len(q)))
-        with np.errstate(all="ignore"):
+    least, found = reach.copy(), []
+    with np.errstate(all="ignore"):
+        ratio = np.where(scales > 0, view("errors") / scales, 0.0) ** 2
+        middle = ratio.mean()
+        root = np.sqrt(rounded.norm**2 * middle + 4 * rounded.error**2)
+        unit = 2 * rounded.step
+        of_code = np.stack([np.ones(len(scales)), scales * positive, scales, scales * (ratio - middle)]).astype(np.float32)
+        narrow = scales.astype(np.float32)
+        for at in range(0, len(q), TILE):
+            some = slice(at, min(at + TILE, len(q)))
             counts = rounded.counts(some, codes)
-            # estimate = centre + scale * (2 * (low * positive + step * count) - sum), a product of few columns but for the counts
-            of_query = np.stack([centre[some], 2 * rounded.low[some], -rounded.sum[some]], 1)
-            of_code = np.stack([np.ones(len(scales)), scales * positive, scales])
-            estimate = of_query @ of_code + (2 * rounded.step[some])[:, None] * scales * counts
-            slack = WIDTH * np.sqrt((rounded.norm[some] ** 2)[:, None] * errors**2 + ((2 * rounded.error[some]) ** 2)[:, None] * scales**2)
-            upper = estimate + slack + 1e-9 * np.abs(estimate)
-            least = reach[some].copy()
-            blind = np.flatnonzero(~np.isfinite(least))
-            if len(blind):  # nothing is known yet: the likeliest tell what has to be reached
+            own = np.stack([centre[some], 2 * rounded.low[some], -rounded.sum[some], np.zeros(len(counts))], 1)
+            for i in np.flatnonzero(~np.isfinite(least[some])):  # nothing is known yet: the likeliest tell what has to be reached
                 first = min(k, block.n)
-                likely = np.argpartition(-estimate[blind], first - 1, axis=1)[:, :first]
-                score = exact(at + np.repeat(blind, first), likely.ravel()).reshape(-1, first)
+                estimate = (own[i] / unit[at + i]).astype(np.float32) @ of_code + narrow * counts[i]
+                likely = np.argpartition(-estimate, first - 1)[:first]
                 if first == k:
-                    least[blind] = score.min(1)
-            r, c = np.nonzero(~(upper < least[:, None]))
-        score = exact(at + r, c)
-        good = ~(score < least[r])
-        r, c, score = r[good], c[good], score[good]
-        # of equal vectors the k smallest ids are enough
-        take = np.minimum(offsets[c + 1] - offsets[c], k)
-        one = np.repeat(np.arange(len(c)), take)
-        place = offsets[c][one] + np.arange(len(one)) - np.repeat(np.cumsum(take) - take, take)
-        r, score, vec, row = r[one], score[one], ids[place], rows[place]
-        order = np.lexsort((row, vec, -score, r))
-        r, score, vec, row = r[order], score[order], vec[order], row[order]
-        top = np.arange(len(r)) - np.searchsorted(r, r) < k
-        r = at + r[top]
-        out.append(pd.DataFrame({"query_row": qrows[r], "query_id": qids[r], "vec_id": vec[top], "row": row[top], "score": score[top]}))
-    return pd.concat(out)
+                    least[at + i] = np.einsum("ij,j->i", x[likely], q[at + i]).min()
+            own[:, 0] -= least[some]
+            own[:, 0] += 1e-6 * np.abs(least[some])
+            own[:, 2] += WIDTH * root[some]
+            own[:, 3] = WIDTH * rounded.norm[some] ** 2 / (2 * root[some])
+            upper = (own / unit[some, None]).astype(np.float32) @ of_code
+            upper += narrow * counts
+            may = ~(upper < 0)
+            for i in range(len(may)):
+                c = np.flatnonzero(may[i])
+                score = np.einsum("ij,j->i", x[c], q[at + i])
+                good = ~(score < least[at + i])
+                found.append((c[good], score[good]))
+    r = np.repeat(np.arange(len(q)), [len(c) for c, _ in found])
+    c, score = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    # of equal vectors the k smallest ids are enough
+    take = np.minimum(offsets[c + 1] - offsets[c], k)
+    one = np.repeat(np.arange(len(c)), take)
+    place = offsets[c][one] + np.arange(len(one)) - np.repeat(np.cumsum(take) - take, take)
+    r, score, vec, row = r[one], score[one], ids[place], rows[place]
+    order = np.lexsort((row, vec, -score, r))
+    r, score, vec, row = r[order], score[order], vec[order], row[order]
+    top = np.arange(len(r)) - np.searchsorted(r, r) < k
+    r = r[top]
+    return pd.DataFrame({"query_row": qrows[r], "query_id": qids[r], "vec_id": vec[top], "row": row[top], "score": score[top]})
 
 
 def _query_blocks(queries: DataFrame) -> DataFrame:
@@ -240,7 +245,9 @@ def _query_blocks(queries: DataFrame) -> DataFrame:
         for dim, rows in held.items():
             yield pack(rows, dim)
 
-    packed = queries.select("row", "vec_id", "vector").mapInPandas(run, "qblock long, qdim int, qrows binary, qids binary, qvectors binary")
+    # as few blocks as hold them: each takes a copy of the index blocks that it visits
+    dealt = queries.select("row", "vec_id", "vector").repartition(-(-max(1, queries.count()) // QUERIES), "row")
+    packed = dealt.mapInPandas(run, "qblock long, qdim int, qrows binary, qids binary, qvectors binary")
     return packed.withColumn("qblock", F.monotonically_increasing_id())
 
 
