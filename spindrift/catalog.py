@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .functions import text
 from .functions.words import STOP, SUFFIXES, TERMS
 from .operators import evaluation, expansion, ranking, reporting, retrieval
-from .shared import written
-from .sources.tables import ALL, benchmark_queries, calls, chunks, load
+from .shared import kept, written
+from .sources.tables import benchmark_queries, calls, chunks, load
 
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
@@ -28,7 +28,7 @@ _VECTOR = """
 pairs AS (
   SELECT q.vec_id AS qid, c.vec_id AS chunk_id,
          round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 4) AS score
-  FROM embeddings q CROSS JOIN embeddings c WHERE q.label = 0{where}),
+  FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id % 100 = 0{where}),
 vec AS (
   SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM pairs
   QUALIFY rank <= {k})"""
@@ -59,18 +59,21 @@ def query(oracle: str | None = None):
     return add
 
 
-#: The vectors that the queries with SQL over one label ask; the same queries with _whole behind their names ask all.
-LABEL, EVERY = "label = 0", "true"
+#: The stated query set of the vector searches, against all vectors.
+ASKED = "chunk_id % 100 = 0"
 
 
-def _vectors(spark: SparkSession, sf_dir: str, asked: str = LABEL) -> tuple[DataFrame, DataFrame]:
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
-    return e, e.filter(asked).select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
+    return e, e.filter(ASKED).select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.postings(docs, {"content": F.col("text")}), docs.count()
+    def make():
+        docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+        return written(retrieval.postings(docs, {"content": F.col("text")})), docs.count()
+
+    return kept(spark, "postings", sf_dir, make)
 
 
 def _fts(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -79,16 +82,16 @@ def _fts(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 
 @query(f"WITH {_VECTOR.format(k=5, where='')} SELECT * FROM vec")
-def vector_topk(spark, sf_dir, asked=LABEL):
-    """The five vectors nearest to each vector of label 0."""
-    e, q = _vectors(spark, sf_dir, asked)
+def vector_topk(spark, sf_dir):
+    """The five vectors nearest to each asked vector."""
+    e, q = _vectors(spark, sf_dir)
     return retrieval.vector_top_k(e, q, 5)
 
 
 @query(f"WITH {_VECTOR.format(k=5, where=' AND c.label IN (1, 2)')} SELECT * FROM vec")
-def vector_topk_filtered(spark, sf_dir, asked=LABEL):
+def vector_topk_filtered(spark, sf_dir):
     """The same among labels 1 and 2, filtered before ranking."""
-    e, q = _vectors(spark, sf_dir, asked)
+    e, q = _vectors(spark, sf_dir)
     return retrieval.vector_top_k(e, q, 5, F.col("label").isin(1, 2))
 
 
@@ -98,9 +101,9 @@ def vector_topk_filtered(spark, sf_dir, asked=LABEL):
              FROM vec JOIN chunks USING (chunk_id) WHERE score >= 0.45)
     SELECT qid, chunk_id, chunk_type, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM kept"""
 )
-def semantic_boosted(spark, sf_dir, asked=LABEL):
+def semantic_boosted(spark, sf_dir):
     """Vector search with the threshold, then type boosts."""
-    e, q = _vectors(spark, sf_dir, asked)
+    e, q = _vectors(spark, sf_dir)
     found = retrieval.vector_top_k(e, q, 5).filter(F.col("score") >= ranking.THRESHOLD).drop("rank")
     typed = found.join(chunks(spark, sf_dir).select("chunk_id", "chunk_type"), "chunk_id")
     return retrieval.ranked(ranking.boosted(typed), [F.col("score").desc(), "chunk_id"]).select("qid", "chunk_id", "chunk_type", "score", "rank")
@@ -137,14 +140,14 @@ _LISTS = (
     + ", l AS (SELECT qid, chunk_id, rank FROM vec), "
     + "r AS (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY "
     "round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 4) DESC, c.vec_id DESC) AS rank "
-    "FROM embeddings q CROSS JOIN embeddings c WHERE q.label = 0 AND c.label < 5 QUALIFY rank <= 10)"
+    "FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id % 100 = 0 AND c.label < 5 QUALIFY rank <= 10)"
 )
 
 
 @query(f"WITH {_LISTS}, {_RRF} SELECT * FROM fused")
-def rrf_fuse(spark, sf_dir, asked=LABEL):
+def rrf_fuse(spark, sf_dir):
     """Two vector rankings fused: all labels, and labels below 5 with ties the other way round."""
-    e, q = _vectors(spark, sf_dir, asked)
+    e, q = _vectors(spark, sf_dir)
     left = retrieval.vector_top_k(e, q, 10)
     right = retrieval.vector_top_k(e.filter("label < 5").withColumn("chunk_id", -F.col("chunk_id")), q, 10).withColumn("chunk_id", -F.col("chunk_id"))
     return retrieval.rank_fusion(left, right, 10, 5)
@@ -210,7 +213,7 @@ def rerank_diversity(spark, sf_dir):
 
 
 _CALLS = r"""
-ct AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[2:9] AS t FROM documents),
+ct AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[2:] AS t FROM documents),
 cu AS (SELECT chunk_id, unnest(t) AS callee, generate_subscripts(t, 1) AS i FROM ct),
 calls AS (SELECT chunk_id, callee, row_number() OVER (PARTITION BY chunk_id ORDER BY min(i)) - 1 AS at_ FROM cu GROUP BY chunk_id, callee),
 by_name AS (SELECT * FROM chunks WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY file_path, chunk_id) = 1)"""
@@ -220,7 +223,7 @@ callers AS (SELECT callee, name AS caller, count(*) AS times FROM calls JOIN chu
 
 @query(f"WITH {_CHUNKS}, {_CALLS}, {_CALLERS} SELECT * FROM callers")
 def callers_index(spark, sf_dir):
-    """Who calls each name, and how often; the second to ninth term of a text alone, as in its SQL."""
+    """Who calls each name, and how often: every term of a text behind its name."""
     return expansion.callers_index(calls(spark, sf_dir), chunks(spark, sf_dir))
 
 
@@ -234,7 +237,7 @@ def callers_index(spark, sf_dir):
     SELECT qid, pos, chunk_id, file_path, name, round(score * 0.8, 6) AS score FROM got"""
 )
 def expand_calls(spark, sf_dir):
-    """What the hybrid results call, by the same terms."""
+    """What the hybrid results call, by every term of a text."""
     out = expansion.via_calls(_hybrid_results(spark, sf_dir), calls(spark, sf_dir), chunks(spark, sf_dir), 5)
     return out.select("qid", "pos", "chunk_id", "file_path", "name", "score")
 
@@ -250,35 +253,9 @@ def expand_calls(spark, sf_dir):
     SELECT qid, pos, chunk_id, file_path, name, round(score * 0.75, 6) AS score, caller_of FROM got"""
 )
 def expand_callers(spark, sf_dir):
-    """Who calls the hybrid results, by the same terms."""
-    c = chunks(spark, sf_dir)
-    out = expansion.via_callers(_hybrid_results(spark, sf_dir), expansion.callers_index(calls(spark, sf_dir), c), c)
-    return out.select("qid", "pos", "chunk_id", "file_path", "name", "score", "caller_of")
-
-
-def _every_term(name: str) -> str:
-    """The oracle of a query of calls, over all terms behind the name."""
-    return _ORACLES[name].replace("[2:9]", "[2:]")
-
-
-@query(_every_term("callers_index"))
-def callers_index_whole(spark, sf_dir):
-    """Who calls each name, and how often: every term of a text behind its name."""
-    return expansion.callers_index(calls(spark, sf_dir, ALL), chunks(spark, sf_dir))
-
-
-@query(_every_term("expand_calls"))
-def expand_calls_whole(spark, sf_dir):
-    """What the hybrid results call, by every term of a text."""
-    out = expansion.via_calls(_hybrid_results(spark, sf_dir), calls(spark, sf_dir, ALL), chunks(spark, sf_dir), 5)
-    return out.select("qid", "pos", "chunk_id", "file_path", "name", "score")
-
-
-@query(_every_term("expand_callers"))
-def expand_callers_whole(spark, sf_dir):
     """Who calls the hybrid results, by every term of a text."""
     c = chunks(spark, sf_dir)
-    out = expansion.via_callers(_hybrid_results(spark, sf_dir), expansion.callers_index(calls(spark, sf_dir, ALL), c), c)
+    out = expansion.via_callers(_hybrid_results(spark, sf_dir), expansion.callers_index(calls(spark, sf_dir), c), c)
     return out.select("qid", "pos", "chunk_id", "file_path", "name", "score", "caller_of")
 
 
@@ -487,7 +464,7 @@ def file_hashes(spark, sf_dir):
 
 
 _GRADED = """
-exp AS (SELECT q.vec_id AS qid, c.vec_id AS item, 2 + (c.vec_id % 2)::INT AS grade FROM embeddings q JOIN embeddings c ON c.label = q.label WHERE q.label = 0 AND c.vec_id <> q.vec_id),
+exp AS (SELECT q.vec_id AS qid, c.vec_id AS item, 2 + (c.vec_id % 2)::INT AS grade FROM embeddings q JOIN embeddings c ON c.label = q.label WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
 g AS (SELECT v.qid, v.rank, coalesce(grade, 0) AS grade FROM vec v LEFT JOIN exp ON exp.qid = v.qid AND exp.item = v.chunk_id),
 per AS (SELECT qid, count(*) AS returned, count(*) FILTER (grade >= 2) AS hits, min(rank) FILTER (grade >= 2) AS first_, sum((2.0 ** grade - 1) / log2(rank + 1.0)) AS dcg FROM g GROUP BY qid),
 o AS (SELECT qid, grade, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, item) AS i FROM exp),
@@ -496,17 +473,17 @@ pr AS (SELECT qid, hits::DOUBLE / returned AS p, hits::DOUBLE / relevant AS r, 1
 q AS (SELECT qid, 'semantic' AS method, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1, round(coalesce(f, 0.0), 4) AS mrr, round(nd, 4) AS ndcg FROM pr)"""
 
 
-def _quality(spark, sf_dir, asked: str) -> DataFrame:
-    e, q = _vectors(spark, sf_dir, asked)
+def _quality(spark, sf_dir) -> DataFrame:
+    e, q = _vectors(spark, sf_dir)
     found = retrieval.vector_top_k(e, q, 10).select("qid", F.lit("semantic").alias("method"), "rank", F.col("chunk_id").alias("item"))
-    mates = e.filter(asked).select(F.col("chunk_id").alias("qid"), "label").join(e.select(F.col("chunk_id").alias("item"), "label"), "label").filter("qid <> item").drop("label")
+    mates = e.filter(ASKED).select(F.col("chunk_id").alias("qid"), "label").join(e.select(F.col("chunk_id").alias("item"), "label"), "label").filter("qid <> item").drop("label")
     return evaluation.measures(found, mates.withColumn("grade", (2 + F.col("item") % 2).cast("int")), 10)
 
 
 @query(f"WITH {_VECTOR.format(k=10, where='')}, {_GRADED} SELECT * FROM q")
-def retrieval_quality(spark, sf_dir, asked=LABEL):
+def retrieval_quality(spark, sf_dir):
     """Precision, recall, f1, reciprocal rank and gain of the vector search, same labels being relevant."""
-    return _quality(spark, sf_dir, asked)
+    return _quality(spark, sf_dir)
 
 
 @query(
@@ -515,24 +492,10 @@ def retrieval_quality(spark, sf_dir, asked=LABEL):
     SELECT method, category, difficulty, count(*) AS queries, round(avg(precision) + 1e-9, 4) AS precision, round(avg(recall) + 1e-9, 4) AS recall, round(avg(f1) + 1e-9, 4) AS f1, round(avg(mrr) + 1e-9, 4) AS mrr, round(avg(ndcg) + 1e-9, 4) AS ndcg
     FROM q JOIN c USING (qid) GROUP BY GROUPING SETS ((method), (category, method), (difficulty, method))"""
 )
-def report_grouping_sets(spark, sf_dir, asked=LABEL):
+def report_grouping_sets(spark, sf_dir):
     """Mean measures by method, category and difficulty."""
     groups = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.concat(F.lit("c"), F.col("vec_id") % 3).alias("category"), F.concat(F.lit("d"), F.col("vec_id") % 2).alias("difficulty"))
-    return evaluation.report(_quality(spark, sf_dir, asked), groups)
-
-
-def _of_every_label(f) -> None:
-    """Register a query that asks the vectors of label 0 once more, asking all vectors."""
-
-    def whole(spark, sf_dir):
-        return f(spark, sf_dir, EVERY)
-
-    whole.__name__, whole.__doc__ = f"{f.__name__}_whole", f"{f.__name__} asking every vector, whatever its label."
-    query(_ORACLES[f.__name__].replace("q.label = 0", "true"))(whole)
-
-
-for _f in (vector_topk, vector_topk_filtered, semantic_boosted, rrf_fuse, retrieval_quality, report_grouping_sets):
-    _of_every_label(_f)
+    return evaluation.report(_quality(spark, sf_dir), groups)
 
 
 @query(

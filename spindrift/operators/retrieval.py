@@ -13,6 +13,8 @@ from ..functions.text import terms
 #: Query vectors that go to every task at once; more go in several passes over the chunks.
 QUERY_BLOCK = 4096
 K1, B = 1.2, 0.75
+#: Postings that one task scores, about, queries that it scores them for, and chunks whose scores it holds at once.
+POSTING_BLOCK, ASKED_BLOCK, SCORED = 2_000_000, 1024, 2048
 
 
 def ranked(df: DataFrame, by: list, k: int | None = None, key: str = "qid", rank: str = "rank") -> DataFrame:
@@ -79,8 +81,11 @@ def postings(chunks: DataFrame, fields: dict[str, Column]) -> DataFrame:
 def text_top_k(index: DataFrame, chunk_count: int, queries: DataFrame, k: int = 5, allowed: DataFrame | None = None, digits: int = 6) -> DataFrame:
     """qid, chunk_id, score, rank: BM25 over the index, summed over fields; any term may match.
 
-    queries: qid, query.  allowed (chunk_id) limits what may be found.  Averages and document frequencies count
-    all chunks.  Null and empty queries find nothing.
+    index: as postings() gives it, best written once.  queries: qid, query.  allowed (chunk_id) limits what may be found.  Averages and
+    document frequencies count all chunks.  Null and empty queries find nothing.
+
+    Postings of asked terms are dealt by chunk, queries in blocks; a task adds up the scores of its chunks for
+    its queries and gives k a query, so no row is made for a query and a document that merely share a word.
     """
     asked = queries.select("qid", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
@@ -91,11 +96,54 @@ def text_top_k(index: DataFrame, chunk_count: int, queries: DataFrame, k: int =
         wanted = wanted.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
     weighed = wanted.join(F.broadcast(sizes), "field").join(idf, ["field", "term"])  # one row a field: a few at most
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = weighed.select("term", "chunk_id", part.alias("part")).groupBy("term", "chunk_id").agg(F.sum("part").alias("part"))
-    found = asked.join(scored, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), digits).alias("score"))
+    parts, blocks = -(-max(1, index.count()) // POSTING_BLOCK), -(-max(1, queries.count()) // ASKED_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = weighed.select("term", "chunk_id", part.alias("part"), F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("p"), every(blocks).alias("b"))
+    right = asked.select("qid", F.col("term").alias("word"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("at"))
+    schema = f"qid {dict(queries.dtypes)['qid']}, chunk_id {dict(index.dtypes)['chunk_id']}, score double"
+    found = left.groupBy("p", "b").cogroup(right.groupBy("at", "block")).applyInPandas(lambda own, ask: _best_texts(own, ask, k, digits), schema)
     return ranked(found, [F.col("score").desc(), "chunk_id"], k)
 
 
+def _best_texts(own: pd.DataFrame, ask: pd.DataFrame, k: int, digits: int) -> pd.DataFrame:
+    """The k best chunks of each query among some postings: sums of parts over the terms that both hold."""
+    empty = pd.DataFrame({"qid": ask["qid"][:0], "chunk_id": own["chunk_id"][:0], "score": np.zeros(0)})
+    if not len(own) or not len(ask):
+        return empty
+    term, words = pd.factorize(own["term"])
+    chunk_ids, chunk = np.unique(own["chunk_id"].to_numpy(), return_inverse=True)
+    word = pd.Index(words).get_indexer(ask["word"])
+    qids, query = np.unique(ask["qid"].to_numpy()[word >= 0], return_inverse=True)
+    if not len(qids):
+        return empty
+    word = word[word >= 0]
+    query = query[by := np.argsort(word, kind="stable")]
+    ends = np.searchsorted(word[by], np.arange(len(words) + 1))
+    order = np.argsort(chunk, kind="stable")
+    term, chunk, weight = term[order], chunk[order], own["part"].to_numpy()[order]
+    out = []
+    for at in range(0, len(chunk_ids), SCORED):
+        a, b = np.searchsorted(chunk, [at, at + SCORED])
+        many = min(SCORED, len(chunk_ids) - at)
+        total = np.zeros(len(qids) * many)
+        # each posting counts for the queries of its term; in slices, so that the pairs fit
+        times = ends[term[a:b] + 1] - ends[term[a:b]]
+        for x in np.split(np.arange(a, b), np.searchsorted(np.cumsum(times), np.arange(4_000_000, times.sum(), 4_000_000))):
+            n = times[x - a]
+            place = np.repeat(ends[term[x]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            total += np.bincount(query[place] * many + np.repeat(chunk[x] - at, n), np.repeat(weight[x], n), len(total))
+        score = np.floor(total.reshape(len(qids), many) * 10**digits + 0.5) / 10**digits
+        top = min(k, many)
+        least = -np.partition(-score, top - 1, axis=1)[:, top - 1 : top]
+        q, c = np.nonzero((score >= least) & (score > 0))
+        out.append((q, at + c, score[q, c]))
+    q, c, score = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((c, -score, q))
+    q, c, score = q[order], c[order], score[order]
+    top = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return pd.DataFrame({"qid": qids[q[top]], "chunk_id": chunk_ids[c[top]], "score": score[top]})
+
+
 def rank_fusion(left: DataFrame, right: DataFrame, fetch: int, k: int, constant: int = 60, keys: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
     """qid, keys, score, rank: reciprocal rank fusion of two ranked lists.
 

@@ -5,24 +5,39 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import StoreError
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or an own folder where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset, a folder of this machine, which only a local session may use."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise StoreError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spindrift-shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 _written: list[tuple[SparkSession, str]] = []
+_kept: dict[tuple[str, str, str], object] = {}
+
+
+def kept(spark: SparkSession, name: str, folder: str, make: Callable[[], object]) -> object:
+    """What make() gives, made once for a session and a folder of tables: an index that many queries read."""
+    key = (spark.sparkContext.applicationId, name, folder)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
 
 
 def drop_written() -> None:
     """Delete every table that written() has left; for when no result reads them any more."""
+    _kept.clear()
     while _written:
         spark, path = _written.pop()
         try:

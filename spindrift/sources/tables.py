@@ -30,17 +30,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("dir", directory_of(F.col("file_path"))).withColumn("norm", normalized_name(F.col("name")))
 
 
-#: More terms than any text has.
-ALL = 1 << 30
-
-
-def calls(spark: SparkSession, sf_dir: str, count: int = 8) -> DataFrame:
-    """chunk_id, caller, at, callee: so many terms of a document behind the first, which is its name; each once, at its first place."""
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id, caller, at, callee: every term of a document behind the first, which is its name; each once, at its first place."""
     found = terms(F.col("text"))
     d = load(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_id"),
         F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("")).alias("caller"),
-        F.array_distinct(F.slice(found, 2, count)).alias("some"),
+        F.array_distinct(F.slice(found, F.lit(2), F.size(found))).alias("some"),
     )
     return d.select("chunk_id", "caller", F.posexplode("some").alias("at", "callee"))
 

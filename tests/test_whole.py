@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 from spindrift import catalog
-from spindrift.sources.tables import ALL, calls
+from spindrift.sources.tables import calls
 
 
 def stored(spark, folder, name, rows, schema):
@@ -15,10 +15,10 @@ def test_calls_of_whole_texts(spark, tmp_path):
     stored(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
     words = {i: re.findall(r"[^\W_]+", (t or "").lower()) for i, t in enumerate(texts)}
     edges = {i: list(dict.fromkeys(w[1:])) for i, w in words.items()}
-    got = {(r["chunk_id"], r["at"], r["callee"]) for r in calls(spark, str(tmp_path), ALL).collect()}
+    got = {(r["chunk_id"], r["at"], r["callee"]) for r in calls(spark, str(tmp_path)).collect()}
     assert got == {(i, at, c) for i, cs in edges.items() for at, c in enumerate(cs)}
     want = Counter((c, words[i][0]) for i, cs in edges.items() for c in cs)
-    found = {(r["callee"], r["caller"]): r["times"] for r in catalog.queries()["callers_index_whole"](spark, str(tmp_path)).collect()}
+    found = {(r["callee"], r["caller"]): r["times"] for r in catalog.queries()["callers_index"](spark, str(tmp_path)).collect()}
     assert found == want and found["tail", "alpha"] == 2
 
 
@@ -26,15 +26,10 @@ def test_every_label_is_asked(spark, tmp_path):
     import random
 
     rng = random.Random(3)
-    rows = [(i, [rng.gauss(0, 1) + 4 * (j == i % 3) for j in range(8)], 1 + i % 3) for i in range(30)]  # no label 0
+    rows = [(i, [rng.gauss(0, 1) + 4 * (j == i % 3) for j in range(8)], 1 + i % 3) for i in range(300)]  # no label 0
     stored(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>, label int")
     q = catalog.queries()
-    assert {r["qid"] for r in q["vector_topk_whole"](spark, str(tmp_path)).collect()} == set(range(30))
-    quality = {r["qid"]: r for r in q["retrieval_quality_whole"](spark, str(tmp_path)).collect()}
-    top = {}
-    for r in q["vector_topk_whole"](spark, str(tmp_path)).collect():
-        top.setdefault(r["qid"], []).append(r["chunk_id"])
-    assert set(quality) == set(range(30)) and all(0 < r["precision"] <= 0.9 for r in quality.values())  # the vector itself is none of its mates
-    assert all(i in found and len(found) == 5 for i, found in top.items())
-    by_method = [r for r in q["report_grouping_sets_whole"](spark, str(tmp_path)).collect() if r["category"] is None and r["difficulty"] is None]
-    assert [r["queries"] for r in by_method] == [30]
+    found = q["vector_topk"](spark, str(tmp_path)).collect()
+    assert {r["qid"] for r in found} == set(range(0, 300, 100)) and len(found) == 15
+    quality = {r["qid"]: r for r in q["retrieval_quality"](spark, str(tmp_path)).collect()}
+    assert set(quality) == set(range(0, 300, 100)) and all(0 < r["precision"] <= 0.9 for r in quality.values())  # the vector itself is none of its mates
