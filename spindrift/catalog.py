@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 from .functions import text
 from .functions.words import STOP, SUFFIXES, TERMS
 from .operators import evaluation, expansion, ranking, reporting, retrieval
+from .registry import oracles, query, registered
 from .shared import kept, written
 from .sources.tables import benchmark_queries, calls, chunks, load
 
-_QUERIES: dict = {}
-_ORACLES: dict[str, str] = {}
-
 _CHUNKS = r"""
 chunks AS (
   SELECT doc_id AS chunk_id, source || '/' || doc_id || '.' || lang AS file_path, lang AS language, source AS dir,
@@ -47,18 +45,6 @@ fts AS (
   QUALIFY rank <= {k})"""
 
 
-def query(oracle: str | None = None):
-    """Register a query under its function's name, with its oracle."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if oracle:
-            _ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
 #: The stated query set of the vector searches, against all vectors.
 ASKED = "chunk_id % 100 = 0"
 
@@ -514,8 +500,12 @@ def path_filters(spark, sf_dir):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    from . import catalog_files  # noqa: F401  registers its own
+
+    return registered()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    from . import catalog_files  # noqa: F401
+
+    return oracles()

@@ -306,6 +306,10 @@ def parse_dart(path: str, source: str, limit: int) -> list[dict]:
                 chunks += _dart_class(path, t, lines, name, t[i].line, body, t[body].mate, imports, limit)
                 i = t[body].mate + 1
                 continue
+        if t[i].text == "enum":  # makes no chunk, and is no part of what follows
+            body = find(t, i, len(t), {"{", ";"})
+            i = t[body].mate + 1 if body < len(t) and t[body].mate >= 0 else body + 1
+            continue
         found = _dart_member(t, i, len(t), None)
         if found[0] and found[2] is not None:
             label, end, b, e = found

@@ -158,3 +158,10 @@ def rank_fusion(left: DataFrame, right: DataFrame, fetch: int, k: int, constant:
     scored = both.withColumn("_raw", place("a") + place("b"))
     out = ranked(scored, [F.round("_raw", 12).desc(), *keys], k)
     return out.select("qid", *keys, F.round("_raw", 6).alias("score"), "rank")
+
+
+def two_wordings(first: DataFrame, second: DataFrame, fetch: int, k: int) -> DataFrame:
+    """qid, chunk_id, score, rank: rankings of queries in one wording, fused with those of their other wording where there is one."""
+    both = second.select("qid").distinct()
+    fused = rank_fusion(first.join(both, "qid", "left_semi"), second, fetch, k)
+    return fused.unionByName(first.join(both, "qid", "left_anti").filter(F.col("rank") <= k).select(*fused.columns))

@@ -35,6 +35,13 @@ def kept(spark: SparkSession, name: str, folder: str, make: Callable[[], object]
     return _kept[key]
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, cleared with what written() leaves."""
+    path = f"{shared_folder(spark)}/spindrift-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def drop_written() -> None:
     """Delete every table that written() has left; for when no result reads them any more."""
     _kept.clear()
@@ -56,7 +63,6 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     The files survive lost executors, and unlike checkpoint() they are columnar and compressed.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/spindrift-{uuid.uuid4().hex}"
+    path = own_folder(spark, "table")
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
