@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: Parts that a node's edges are dealt to: the centre of a large component is no single task.
+PARTS = 8
+
+
+def _with(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with m, the least node that their u hangs on."""
+    dealt = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int")).join(dealt, ["u", "part"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of (a, b) edges; component is the smallest node reachable.
 
@@ -25,9 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        hung = _with(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         now = written(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

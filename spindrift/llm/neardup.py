@@ -33,10 +33,10 @@ BANDS = REGISTERS // ROWS
 NUMERATOR, DENOMINATOR = 75, 100
 #: Standard errors by which an estimate may lie below the threshold and still be confirmed.
 SLACK = 4.0
-#: Documents of one key that one task compares with as many others.
-BLOCK = 4096
-#: Pairs up to which a block gives all that may be links; above, only those that tie components, and it asks for another look.
-FEW = 4000
+#: Documents of one key that one task compares with as many others; what it holds is bounded by its square.
+BLOCK = 1024
+#: Pairs of one document, about, that one task confirms; one that more are compared with is dealt to several.
+CROWD = 2000
 #: Distance from the central document up to which what a document adds to it is kept (beyond, registers alone decide).
 NEAR = 0.5
 #: Bits of the sieve that keeps texts without a partner from being moved.
@@ -203,8 +203,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     texts = sieved(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), "id", ends)
-    left = pairs.join(texts, pairs["a"] == texts["id"]).select("a", "b", F.col("text").alias("text_a"))
-    right = pairs.select("b").distinct().join(texts, F.col("b") == F.col("id")).select("b", F.col("text").alias("text_b"))
+    # a document that a crowd is compared with takes its text to several tasks; of pairs only ids move to find that out
+    crowds = pairs.groupBy("b").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("tasks")).filter("tasks > 1")
+    dealt = pairs.join(crowds, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("tasks")).cast("int"), F.lit(0)).alias("task"))
+    left = dealt.join(texts, dealt["a"] == texts["id"]).select("a", "b", "task", F.col("text").alias("text_a"))
+    right = dealt.select("b", "task").distinct().join(texts, F.col("b") == F.col("id")).select("b", "task", F.col("text").alias("text_b"))
 
     def run(batches):
         last, own = None, None
@@ -222,7 +225,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 links.append(bool(common) and DENOMINATOR * common >= NUMERATOR * union)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distances), pa.array(links, pa.bool_()), pa.array(added, pa.binary())], names=["a", "b", "distance", "link", "added"])
 
-    return left.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, distance double, link boolean, added binary")
+    return left.join(right, ["b", "task"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, distance double, link boolean, added binary")
 
 
 def _crossing(met: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame, every: bool) -> DataFrame:
@@ -230,7 +233,7 @@ def _crossing(met: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataF
 
     Keys with one component are done.  Documents of the others are dealt to blocks, and each pair of blocks is
     compared in one task: by sizes and distances from the head, then by registers, then by what both add to the
-    head; of the keys that a pair shares, the first alone counts.  Where a block has many such pairs and not every one is asked for, a pair is
+    head; of the keys that a pair shares, the first alone counts.  Unless every one is asked for, a pair is
     left out when pairs that look safer already tie its components; the caller asks again once these are confirmed or not.
     """
     placed = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -256,7 +259,7 @@ def _crossing(met: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataF
         added = [None if x is None else frozenset(np.frombuffer(x, np.uint64).tolist()) for x in pdf["added"]]
         left = np.flatnonzero(pdf["own"].to_numpy() == pdf["i"].iat[0])
         right = left if within else np.flatnonzero(pdf["own"].to_numpy() == pdf["j"].iat[0])
-        found = []
+        pairs = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for k in left:
             apart = np.abs(away[right] - away[k])
             sizes = DENOMINATOR * np.minimum(size[right], size[k]) >= NUMERATOR * np.maximum(size[right], size[k])
@@ -269,29 +272,34 @@ def _crossing(met: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataF
                 continue
             value, least = estimate(regs[may], regs[k][None, :], size[may], np.full(len(may), size[k]))
             ok = value >= least
-            for v, m in zip(value[ok], may[ok], strict=True):
-                if added[k] is not None and added[m] is not None:
-                    most = min(size[k] - len(added[k]), size[m] - len(added[m])) + len(added[k] & added[m])
-                    if DENOMINATOR * most < NUMERATOR * (size[k] + size[m] - most):
-                        continue
-                found.append((v, max(node[k], node[m]), min(node[k], node[m]), part[k], part[m]))
+            if added[k] is not None:
+                for n in np.flatnonzero(ok):
+                    m = may[n]
+                    if added[m] is not None:
+                        most = min(size[k] - len(added[k]), size[m] - len(added[m])) + len(added[k] & added[m])
+                        ok[n] = DENOMINATOR * most >= NUMERATOR * (size[k] + size[m] - most)
+            pairs.append((value[ok], np.full(ok.sum(), k), may[ok]))
+        value, x, y = (np.concatenate([p[i] for p in pairs]) for i in range(3))
+        a, b = np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
+        if every:
+            return pd.DataFrame({"a": a, "b": b}).astype("Int64")
         root: dict[int, int] = {}
 
-        def top(x):
-            while root.get(x, x) != x:
-                root[x] = root.get(root[x], root[x])
-                x = root[x]
-            return x
-
-        whole = every or len(found) <= FEW
-        out = [] if whole else [(None, None)]
-        for v, a, b, ca, cb in sorted(found, reverse=True):
-            x, y = top(ca), top(cb)
-            if whole or x != y:
-                out.append((a, b))
-                if v >= NUMERATOR / DENOMINATOR:
-                    root[x] = y
-        return pd.DataFrame(out, columns=["a", "b"], dtype="Int64")
+        def top(c):
+            while root.get(c, c) != c:
+                root[c] = root.get(root[c], root[c])
+                c = root[c]
+            return c
+
+        keep = []
+        for n in np.lexsort((b, a, -value)).tolist():
+            c, d = top(part[x[n]]), top(part[y[n]])
+            if c != d:
+                keep.append(n)
+                if value[n] >= NUMERATOR / DENOMINATOR:
+                    root[c] = d
+        out = pd.DataFrame({"a": a[keep], "b": b[keep]}).astype("Int64")
+        return out if len(keep) == len(a) else pd.concat([out, pd.DataFrame({"a": [None], "b": [None]}, dtype="Int64")])
 
     found = rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
     both = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -303,7 +311,8 @@ def link(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id reachable over links (75 of 100 shingles in common), kept whether it is
     the document's own.  Null and empty texts have no shingles and no links; rows without a doc_id have no
-    component and are kept; repeated rows are copies of each other; an empty table gives an empty result; other
+    component and are kept; repeated rows are copies of each other; texts that share a doc_id are one document's, so what is
+    like any of them is reachable from it; an empty table gives an empty result; other
     columns are not read.
     """
     sketches = written(sketch(docs))

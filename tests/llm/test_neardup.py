@@ -58,10 +58,10 @@ def test_against_all_pairs(docs):
     assert [got[i] for i in range(len(texts))] == exact(texts)
 
 
-@pytest.mark.parametrize(("block", "few"), [(3, 4000), (4096, 0)])
-def test_blocks_change_nothing(docs, monkeypatch, block, few):
+@pytest.mark.parametrize(("block", "crowd"), [(3, 2), (4096, 2000)])
+def test_blocks_change_nothing(docs, monkeypatch, block, crowd):
     monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "CROWD", crowd)
     texts = corpus()
     got = {r["doc_id"]: r["component_id"] for r in neardup.link(docs(*texts)).collect()}
     assert [got[i] for i in range(len(texts))] == [c for _, c in exact(texts)]
@@ -72,6 +72,8 @@ def test_odd_rows(docs, spark):
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.link(df).collect())
     assert got == [(5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (9, 0, 9, True), (9, 0, 9, True)]
     assert neardup.link(docs()).collect() == []
+    shared = docs("a b c d e f", "g h i j k l", "g h i j k l", "a b c d e f", ids=[5, 5, 7, 9])
+    assert sorted((r["doc_id"], r["component_id"]) for r in neardup.link(shared).collect()) == [(5, 5), (5, 5), (7, 5), (9, 5)]
     lone = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in neardup.link(lone).collect()) == [(0, 0, True), (3, 3, True)]
 
