@@ -52,10 +52,9 @@ def weighed(docs: DataFrame, *keep: str) -> DataFrame:
 
 def _targets(cells: DataFrame, targets: dict[str, dict[str, float] | None], alpha: float) -> DataFrame:
     """t_<dimension>: the target share of each cell's value; a stated map (values absent from it get 0), or the share to the power alpha."""
-    whole = Window.partitionBy()
     for d in DIMENSIONS:
         by = Window.partitionBy(f"mix_{d}")
-        share = F.sum("w0").over(by) / F.sum("w0").over(whole)
+        share = F.sum("w0").over(by)
         stated = targets.get(d)
         if stated:
             total = sum(stated.values())
@@ -65,8 +64,10 @@ def _targets(cells: DataFrame, targets: dict[str, dict[str, float] | None], alph
             raw = F.pow(share, F.lit(alpha))
         cells = cells.withColumn("_raw", raw).withColumn("_own", F.sum("w0").over(by))
         # a value's raw target, spread over its cells by weight, sums over cells to the sum over values
-        cells = cells.withColumn(f"t_{d}", F.col("_raw") / F.sum(F.col("_raw") * F.col("w0") / F.col("_own")).over(whole)).drop("_raw", "_own")
-    return cells
+        cells = cells.withColumn(f"t_{d}", F.col("_raw")).withColumn(f"_s_{d}", F.col("_raw") * F.col("w0") / F.col("_own")).drop("_raw", "_own")
+    cells = written(cells)
+    totals = cells.agg(*(F.sum(f"_s_{d}") for d in DIMENSIONS)).first()
+    return cells.withColumns({f"t_{d}": F.col(f"t_{d}") / F.lit(t) for d, t in zip(DIMENSIONS, totals, strict=True)}).drop(*(f"_s_{d}" for d in DIMENSIONS))
 
 
 def rake(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, alpha: float = 0.7) -> DataFrame:
@@ -74,12 +75,12 @@ def rake(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = N
 
     Sweeps go on until every marginal is within TOLERANCE of its target.  Where targets can't all hold (a value occurs in
     too few cells), they end once the largest deviation has stopped falling, with the last
-    dimension exact; that deviation is logged as a warning.
+    dimension exact; that deviation stands in the column off, and is logged as a warning.
     """
     cells = docs.groupBy(*(f"mix_{d}" for d in DIMENSIONS)).agg(F.sum("mix_tokens").cast("double").alias("n")).filter("n > 0")
     cells = written(cells)
-    whole = Window.partitionBy()
-    cells = _targets(cells.withColumn("w0", F.col("n") / F.sum("n").over(whole)), targets or {}, alpha).withColumn("w", F.col("w0"))
+    total = cells.agg(F.sum("n")).first()[0]
+    cells = _targets(cells.withColumn("w0", F.col("n") / F.lit(total)), targets or {}, alpha).withColumn("w", F.col("w0"))
     least, idle, sweeps = float("inf"), 0, 0
     while True:
         for _ in range(SWEEPS):
@@ -89,7 +90,7 @@ def rake(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = N
         off = [F.abs(F.sum("w").over(Window.partitionBy(f"mix_{d}")) - F.col(f"t_{d}")) for d in DIMENSIONS]
         cells = written(cells.withColumn("off", F.greatest(*off)))
         left = cells.agg(F.max("off")).first()[0] or 0.0
-        cells, sweeps = cells.drop("off"), sweeps + SWEEPS
+        cells, sweeps = cells.withColumn("off", F.lit(float(left))), sweeps + SWEEPS
         if left < TOLERANCE:
             log.info("raked in %d sweeps to a deviation of %.3g", sweeps, left)
             return cells
@@ -101,19 +102,23 @@ def rake(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = N
 
 
 def calibrated(cells: DataFrame, rate: float) -> DataFrame:
-    """Cells with probability p = min(1, c * w / w0), c such that the expected tokens are rate of all.
+    """Cells with f = w / w0 and probability p = min(1, c * f), c such that the expected tokens are rate of all.
 
-    Cells in descending order of w / w0 reach 1 first; c follows from the largest set of capped cells that is consistent.
+    c rises from the rate: what cells at 1 can't take goes to the others, until no more cells reach 1.  Each step adds up
+    the cells once.
     """
-    whole = Window.partitionBy()
-    order = Window.partitionBy().orderBy(F.col("f").desc(), *(f"mix_{d}" for d in DIMENSIONS)).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("f", F.col("w") / F.col("w0"))
-    capped = F.coalesce(F.sum("w0").over(order), F.lit(0.0))
-    left = 1.0 - F.coalesce(F.sum("w").over(order), F.lit(0.0))
-    cells = cells.withColumn("_c", F.when(left > 1e-12, (F.lit(float(rate)) - capped) / left))
-    # the first cell, in that order, which its own c doesn't cap
-    fits = F.min(F.when((F.col("_c") * F.col("f") <= 1.0) & (F.col("_c") >= 0), F.struct(-F.col("f"), F.col("_c")))).over(whole)
-    return cells.withColumn("p", F.least(F.lit(1.0), F.coalesce(fits["_c"] * F.col("f"), F.lit(1.0)))).drop("_c")
+    c, over = float(rate), F.col("f") * F.lit(float(rate)) >= 1.0
+    while True:
+        capped, left = cells.agg(F.sum(F.when(over, F.col("w0")).otherwise(0.0)), F.sum(F.when(~over, F.col("w")).otherwise(0.0))).first()
+        if capped is None or left <= 1e-12:  # no cells, or all with any weight at 1
+            c = 1e300
+            break
+        higher = (rate - capped) / left
+        if higher <= c * (1 + 1e-12):
+            break
+        c, over = higher, F.col("f") * F.lit(higher) >= 1.0
+    return cells.withColumn("p", F.least(F.lit(1.0), F.col("f") * F.lit(c)))
 
 
 def unit(seed: int) -> Column:
@@ -124,17 +129,18 @@ def unit(seed: int) -> Column:
 def mix(
     docs: DataFrame, *keep: str, rate: float = 0.5, alpha: float = 0.7, targets: dict[str, dict[str, float] | None] | None = None, seed: int = 17
 ) -> DataFrame:
-    """Each row of docs with its cell, weight (raked over own share), probability and kept.
+    """Each row of docs with its cell, weight (raked over own share), probability, kept, and how far the targets are missed at most.
 
     rate is the part of all tokens to keep in expectation; alpha flattens shares where no target is stated.
-    Columns named in keep follow as they are.  Documents without tokens are kept with probability rate; repeated rows share
+    Columns named in keep follow as they are.  Documents without tokens are kept with probability rate, rows without a doc_id share one draw; repeated rows share
     their draw; an empty table gives an empty result.
     """
-    documents = weighed(docs, *keep)
+    # texts are read once: what cells are made of is what is drawn from
+    documents = written(weighed(docs, *keep))
     cells = calibrated(rake(documents, targets, alpha), rate)
     keys = [f"mix_{d}" for d in DIMENSIONS]
     # cells are few: Spark sends them to every task if their measured size allows, and else splits what is skewed
-    joined = documents.join(cells.select(*keys, "f", "p"), keys, "left")
+    joined = documents.join(cells.select(*keys, "f", "p", "off"), keys, "left")
     p = F.coalesce(F.col("p"), F.lit(float(rate)))
     return joined.select(
         "doc_id",
@@ -144,4 +150,5 @@ def mix(
         F.coalesce(F.col("f"), F.lit(1.0)).alias("mix_weight"),
         p.alias("mix_probability"),
         (unit(seed) < p).alias("mix_kept"),
+        F.col("off").alias("mix_deviation"),
     )
