@@ -53,6 +53,8 @@ class Config:
         environ = os.environ if environ is None else environ
         found |= {name: environ[prefix + name.upper()] for name in FROM_ENVIRONMENT if prefix + name.upper() in environ}
         kinds = {f.name: type(f.default) for f in fields(cls)}
+        if isinstance(found.get("extra_ignore"), str):
+            raise ConfigError("extra_ignore must be a list of patterns")
         try:
             return cls(**{k: kinds[k](v) for k, v in found.items()})
         except (TypeError, ValueError) as e:

@@ -118,7 +118,13 @@ class HttpProvider(Provider):
 
 
 def create(config: Config) -> Provider:
-    """The provider that the settings name."""
+    """The provider that the settings name, sending texts in batches of the configured size."""
+    made = _named(config)
+    made.batch_size = config.batch_size
+    return made
+
+
+def _named(config: Config) -> Provider:
     name = config.embedding_provider
     if name == "local":
         return HashingProvider(config.embedding_mode)
@@ -127,7 +133,7 @@ def create(config: Config) -> Provider:
     if name == "openai":
         return HttpProvider("https://api.openai.com/v1/embeddings", "text-embedding-3-small", 1536, "OPENAI_API_KEY")
     if name == "ollama":
-        return HttpProvider(os.environ.get("OLLAMA_URL", "http://localhost:11434") + "/api/embeddings", "nomic-embed-text", None, single=True)
+        return HttpProvider(os.environ.get("OLLAMA_URL", "http://localhost:11434") + "/api/embeddings", os.environ.get("OLLAMA_MODEL", "nomic-embed-text"), None, single=True)
     raise ProviderError(f"unknown embedding provider {name!r}")
 
 

@@ -32,4 +32,6 @@ SUGGESTIONS = (
 def as_response(error: Exception) -> dict[str, str]:
     """The error and what to do about it, for callers that must not see exceptions."""
     told = next((text for kind, text in SUGGESTIONS if isinstance(error, kind)), "Run reindex and try again.")
+    if not isinstance(error, EngineError):
+        return {"error": f"Unexpected error: {error}", "suggestion": "Please report this. Run reindex and try again."}
     return {"error": str(error), "suggestion": told}

@@ -5,6 +5,7 @@ Searches take one query or a batch; all queries of a batch share one plan.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
@@ -20,7 +21,7 @@ from ..config import Config
 from ..errors import EngineError, as_response
 from ..functions import text
 from ..operators import expansion, lookups, ranking, reporting, retrieval
-from ..schema import EMBEDDED, FILES, POSTINGS, QUERY_LOG
+from ..schema import CALLERS, EMBEDDED, FILES, META, POSTINGS, QUERY_LOG
 from ..shared import written
 from ..sources.repo import find_root, read_repository
 from ..sources.snapshots import Snapshots, index_folder, upserted
@@ -81,7 +82,10 @@ class Engine:
                     chunks = upserted(self.store.table("chunks", EMBEDDED), fresh, touched)
                     terms = upserted(self.store.table("postings", POSTINGS), self._postings(fresh), touched)
                     files = live.select("file_path", "language", "size_bytes", "file_hash")
-                    self.store.commit(chunks=chunks, postings=terms, files=files)
+                    meta = upserted(self.store.table("meta", META), self._meta(fresh), touched)
+                    self.store.commit(chunks=chunks, postings=terms, files=files, meta=meta)
+                    # the reverse index of calls follows from the table just stored
+                    self.store.commit(callers=self._callers())
                 by_language = {r["language"]: r["files"] for r in reporting.languages(live).collect()}
                 diff.unpersist()
             finally:
@@ -96,21 +100,24 @@ class Engine:
         }
 
     def _ready(self) -> str | None:
-        if "chunks" in self.store.version():
+        if "callers" in self.store.version():
             return None
         stats = self.reindex()
         return f"First index: {stats['files_scanned']} files scanned, {stats['chunks_created']} chunks created in {stats['duration_ms'] / 1000:.1f} s."
 
+    def delete_file(self, path: str) -> int:
+        """Take a file's chunks out of the index; how many there were. It comes back with the next reindex if it is still there."""
+        with self.store.lock():
+            gone = self.spark.createDataFrame([(path,)], "file_path string")
+            count = self.chunks().filter(F.col("file_path") == path).count()
+            if count:
+                stored = {n: self.store.table(n, kind) for n, kind in (("chunks", EMBEDDED), ("postings", POSTINGS), ("files", FILES), ("meta", META))}
+                self.store.commit(**{n: df.join(gone, "file_path", "left_anti").select(*df.columns) for n, df in stored.items()})
+                self.store.commit(callers=self._callers())
+        return count
+
     def chunks(self, extension: str | None = None, prefix: str | None = None) -> DataFrame:
-        df = self.store.table("chunks", EMBEDDED)
-        df = df.withColumns(
-            {
-                "chunk_id": F.xxhash64(*CHUNK_KEYS),
-                "dir": text.directory_of(F.col("file_path")),
-                "norm": text.normalized_name(F.col("name")),
-                "filled": text.filled_lines(F.col("content")),
-            }
-        )
+        df = self._derived(self.store.table("chunks", EMBEDDED))
         return df.filter(text.path_filter(F.col("file_path"), extension, prefix)) if extension or prefix else df
 
     # searching
@@ -130,15 +137,37 @@ class Engine:
         found = retrieval.postings(own, {c: F.col(c) for c in ("content", "name", "file_path")})
         return found.join(own.select("chunk_id", "file_path").distinct(), "chunk_id").select("file_path", "field", "term", "chunk_id", "tf", "size")
 
+    @staticmethod
+    def _derived(chunks: DataFrame) -> DataFrame:
+        return chunks.withColumns(
+            {
+                "chunk_id": F.xxhash64(*CHUNK_KEYS),
+                "dir": text.directory_of(F.col("file_path")),
+                "norm": text.normalized_name(F.col("name")),
+                "filled": text.filled_lines(F.col("content")),
+            }
+        )
+
+    def _meta(self, chunks: DataFrame) -> DataFrame:
+        return self._derived(chunks).select("chunk_id", "file_path", "dir", "name", "norm", "chunk_type", "language", "line_start", "filled", "calls")
+
+    def _callers(self) -> DataFrame:
+        meta = self.store.table("meta", META)
+        return expansion.callers_index(meta.select("chunk_id", F.col("name").alias("caller"), F.posexplode("calls").alias("at", "callee")), meta)
+
+    def get_callers(self, name: str) -> list[str]:
+        """Names that call a name, out of the stored reverse index."""
+        return [r["caller"] for r in lookups.callers_of(self.store.table("callers", CALLERS), name).collect()]
+
     def _fts(self, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
         index = self.store.table("postings", POSTINGS).drop("file_path")
         return retrieval.text_top_k(index, self.chunks().count(), queries, k, chunks.select("chunk_id"))
 
     def _expanded(self, found: DataFrame, chunks: DataFrame, k: int, extension: str | None) -> DataFrame:
         """Callees, callers, siblings, counterparts, each seeing what came before; reranked, then tests."""
-        every = self.chunks()
-        base = written(every.select("chunk_id", "file_path", "dir", "name", "norm", "chunk_type", "language", "line_start", "filled"))
-        calls = every.select("chunk_id", F.posexplode("calls").alias("at", "callee"))
+        meta = self.store.table("meta", META)
+        base, callers = meta.drop("calls"), self.store.table("callers", CALLERS)
+        calls = meta.select("chunk_id", F.posexplode("calls").alias("at", "callee"))
         tail = base.select("chunk_id", "norm", "filled")
 
         def grown(results: DataFrame, more: DataFrame) -> DataFrame:
@@ -147,7 +176,7 @@ class Engine:
 
         results = written(found.join(base, "chunk_id").withColumnRenamed("rank", "pos"))
         results = grown(results, expansion.via_calls(results, calls, base, k))
-        results = grown(results, expansion.via_callers(results, expansion.callers_index(calls, base), base))
+        results = grown(results, expansion.via_callers(results, callers, base))
         results = grown(results, expansion.siblings(results, base, extension))
         results = grown(results, expansion.cross_layer(results, base))
         tests = expansion.test_files(results, base)
@@ -205,30 +234,42 @@ class Engine:
     def stale(self) -> DataFrame:
         return lookups.staleness(self.store.table("files", FILES), self.live().select("file_path", "file_hash"))
 
+    def _relative(self, path: str) -> str:
+        """A path as the index has it: relative to the repository, also where it was given whole."""
+        given = Path(path)
+        return given.resolve().relative_to(self.repository).as_posix() if given.is_absolute() and given.resolve().is_relative_to(self.repository) else path
+
+    def _file_is_stale(self, path: str) -> bool:
+        """Whether one file has changed since it was indexed; no other file is read."""
+        at, stored = Path(self.repository) / path, self.store.table("files", FILES).filter(F.col("file_path") == path).first()
+        return stored is None or not at.is_file() or hashlib.sha256(at.read_bytes()).hexdigest() != stored["file_hash"]
+
     def get_file(self, path: str) -> str:
         """A file's chunks as text, marked if the file has changed since."""
+        self._ready()
+        path = self._relative(path)
         rows = lookups.by_file(self.chunks(), path).select("name", "chunk_type", "line_start", "line_end", "parent_name", text.first_lines(F.col("content"), SHOWN_IN_FILE).alias("shown")).collect()
-        there = (Path(self.repository) / path).is_file()
         if not rows:
+            there = (Path(self.repository) / path).is_file()
             raise EngineError(f"{path} isn't in the index" if there else f"there is no file {path}")
-        changed = self.stale().filter(F.col("file_path") == path).first()
-        head = path + (" [STALE]" if changed is None or changed["stale"] else "")
+        head = path + (" [STALE]" if self._file_is_stale(path) else "")
         return "\n\n".join([head, *(f"{r['chunk_type']} {r['name']}{f' in {r['parent_name']}' if r['parent_name'] else ''} (lines {r['line_start']}-{r['line_end']})\n{r['shown']}" for r in rows)])
 
     def inspect_index(self, path: str | None = None) -> dict:
-        """Counts by language, stale files and savings so far; or a file's chunks."""
+        """Counts by language, bytes, stale files and savings so far; or a file's chunks."""
         if path:
+            path = self._relative(path)
             rows = lookups.by_file(self.chunks(), path).select("name", "chunk_type", "line_start", "line_end").collect()
-            changed = self.stale().filter(F.col("file_path") == path).first()
-            return {"file": path, "chunks": [r.asDict() for r in rows], "stale": changed is None or changed["stale"]}
-        counts = reporting.inspect_global(self.chunks()).collect()
+            return {"file": path, "chunks": [r.asDict() for r in rows], "stale": self._file_is_stale(path)}
+        counts = reporting.inspect_global(self.store.table("meta", META)).collect()
         total = next((r for r in counts if r["is_total"]), None)
         changed = self.stale().filter("stale").orderBy("file_path")
-        saved = reporting.cumulative(self.store.table("queries", QUERY_LOG)).first()
+        saved = reporting.cumulative(self.store.log("queries", QUERY_LOG)).first()
         return {
             "files": total["files"] if total else 0,
             "chunks": total["chunks"] if total else 0,
             "languages": {r["language"]: r["chunks"] for r in counts if not r["is_total"]},
+            "bytes": self.store.size(),
             "stale_files": changed.count(),
             "stale_listed": [r["file_path"] for r in changed.limit(10).collect()],
             "total_saved": saved["total_saved"],
@@ -236,28 +277,41 @@ class Engine:
             "last_updated": saved["last_updated"],
         }
 
-    def respond(self, kind: str, query: str, **options) -> str:
-        """One query's results as JSON with a summary, savings and coverage; errors come back as JSON as well."""
+    def answer(self, tool: str, *args, **options) -> str:
+        """What one of the entry points gives, as JSON; every failure comes back as JSON as well, and none is raised."""
         try:
-            began, notice = time.time(), self._ready()
-            found = written(getattr(self, f"search_{kind}")(query, **options))
-            content = self.chunks().select("chunk_id", "line_start", "line_end", "parent_name", text.first_lines(F.col("content"), SHOWN).alias("content"))
-            full = written(found.join(content, "chunk_id"))
-            files = self.store.table("files", FILES)
-            payload = full.withColumn("payload", F.to_json(F.struct("file_path", "name", "chunk_type", "line_start", "line_end", "content", "score")))
-            saved = reporting.savings(payload, files).first()
-            saved = saved.asDict() if saved else {"without": 0, "with_engine": 0, "saved": 0, "reduction_pct": 0.0}
-            covered = reporting.coverage(found, self.chunks(), self._queries(query)).first().asDict()
-            results = [r.asDict() for r in full.join(self.stale(), "file_path", "left").orderBy("rank").collect()]
-            if results:
-                with self.store.lock():
-                    entry = self.spark.sql("select current_timestamp() as queried_at").select(F.lit(saved["saved"]).cast("long").alias("saved"), "queried_at")
-                    self.store.commit(queries=self.store.table("queries", QUERY_LOG).unionByName(entry))
-            took = int((time.time() - began) * 1000)
-            lines = [notice] if notice else []
-            lines += [f"{n}. {r['name']} ({r['chunk_type']}) - {r['file_path']}:{r['line_start']} [score: {r['score']}]" for n, r in enumerate(results, 1)] or ["No results found."]
-            lines.append(f"Tokens saved: {saved['saved']:,} ({saved['reduction_pct']}%) | {took} ms")
-            body = {"summary": "\n".join(lines), "results": results, "tokens_saved": saved, "coverage": covered, "metadata": {"query_time_ms": took, "notice": notice}}
-            return json.dumps(body, ensure_ascii=False, default=str)
-        except EngineError as e:
+            if tool in ("search_semantic", "search_exact", "search_hybrid"):
+                return self._searched(tool.removeprefix("search_"), *args, **options)
+            if tool not in ("audit_search", "get_file", "inspect_index", "reindex", "delete_file", "get_callers"):
+                raise EngineError(f"there is no tool {tool!r}")
+            found = getattr(self, tool)(*args, **options)
+            if isinstance(found, DataFrame):
+                found = [r.asDict() for r in found.orderBy("qid", "category", "file_path", "name").collect()]
+            return json.dumps({"result": found}, ensure_ascii=False, default=str)
+        except Exception as e:  # noqa: BLE001  the caller of a tool sees no exceptions
             return json.dumps(as_response(e))
+
+    def respond(self, kind: str, query: str, **options) -> str:
+        """One query's results as JSON with a summary, savings and coverage; errors come back as JSON as well."""
+        return self.answer(f"search_{kind}", query, **options)
+
+    def _searched(self, kind: str, query: str, **options) -> str:
+        began, notice = time.time(), self._ready()
+        found = written(getattr(self, f"search_{kind}")(query, **options))
+        content = self.chunks().select("chunk_id", "line_start", "line_end", "parent_name", text.first_lines(F.col("content"), SHOWN).alias("content"))
+        full = written(found.join(content, "chunk_id"))
+        files = self.store.table("files", FILES)
+        payload = full.withColumn("payload", F.to_json(F.struct("file_path", "name", "chunk_type", "line_start", "line_end", "content", "score")))
+        saved = reporting.savings(payload, files).first()
+        saved = saved.asDict() if saved else {"without": 0, "with_engine": 0, "saved": 0, "reduction_pct": 0.0}
+        covered = reporting.coverage(found, self.chunks(), self._queries(query)).first().asDict()
+        results = [r.asDict() for r in full.join(self.stale(), "file_path", "left").orderBy("rank").collect()]
+        if results:
+            entry = self.spark.sql("select current_timestamp() as queried_at").select(F.lit(saved["saved"]).cast("long").alias("saved"), "queried_at")
+            self.store.append("queries", entry)
+        took = int((time.time() - began) * 1000)
+        lines = [notice] if notice else []
+        lines += [f"{n}. {r['name']} ({r['chunk_type']}) - {r['file_path']}:{r['line_start']} [score: {r['score']}]" for n, r in enumerate(results, 1)] or ["No results found."]
+        lines.append(f"Tokens saved: {saved['saved']:,} ({saved['reduction_pct']}%) | {took} ms")
+        body = {"summary": "\n".join(lines), "results": results, "tokens_saved": saved, "coverage": covered, "metadata": {"query_time_ms": took, "notice": notice}}
+        return json.dumps(body, ensure_ascii=False, default=str)

@@ -21,5 +21,8 @@ CHUNKS = T.StructType(
 )
 FILES = "file_path string, language string, size_bytes long, file_hash string"
 POSTINGS = "file_path string, field string, term string, chunk_id long, tf long, size int"
+CALLERS = "callee string, caller string, times long"
 QUERY_LOG = "saved long, queried_at timestamp"
 EMBEDDED = T.StructType([*CHUNKS.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+#: What searches need of chunks beside contents and vectors, kept so that they read no content.
+META = "chunk_id long, file_path string, dir string, name string, norm string, chunk_type string, language string, line_start int, filled int, calls array<string>"

@@ -73,6 +73,36 @@ def test_engine(spark, repo, tmp_path):
     assert json.loads(engine.respond("exact", "zzzz"))["summary"].startswith("No results")
 
 
+def test_answers(spark, repo, tmp_path):
+    engine = Engine(spark, str(repo), str(tmp_path / "home"))
+    assert json.loads(engine.answer("reindex"))["result"]["files_scanned"] == 5
+    assert engine.get_file(str(repo / "src" / "billing.py")) == engine.get_file("src/billing.py")
+    assert json.loads(engine.answer("inspect_index"))["result"]["bytes"] > 0
+    assert json.loads(engine.answer("get_callers", "charge"))["result"] == ["check_charge", "package_entry"]
+    assert {r["category"] for r in json.loads(engine.answer("audit_search", "charge"))["result"]} <= {"both", "semantic_only", "exact_only"}
+    for tool, args in (("get_file", ("nope.py",)), ("search_exact", ("x", -1)), ("drop", ()), ("get_file", (3,)), ("search_hybrid", ())):
+        assert set(json.loads(engine.answer(tool, *args))) == {"error", "suggestion"}
+    assert json.loads(engine.answer("delete_file", "src/billing.py"))["result"] == 2
+    assert "isn't in the index" in json.loads(engine.answer("get_file", "src/billing.py"))["error"]
+    assert engine.get_callers("validate") == [] and engine.reindex()["files_indexed"] == 1
+
+
+def test_a_dead_writer_and_old_versions(spark, tmp_path):
+    a = Snapshots(spark, str(tmp_path / "s"), timeout=2, poll=0.1, expiry=1.0, history=2)
+    (tmp_path / "s" / "LOCK").write_text("gone")
+    import os
+
+    os.utime(tmp_path / "s" / "LOCK", (1, 1))
+    for n in range(6):
+        with a.lock():
+            a.commit(t=spark.range(n), **({"u": spark.range(1)} if n == 0 else {}))
+    assert a.table("t", "id long").count() == 5 and a.table("u", "id long").count() == 1
+    assert len(list((tmp_path / "s").glob("v-*"))) == 4  # two that are named, two of the past
+    a.append("x", spark.range(2))
+    a.append("x", spark.range(2))
+    assert a.log("x", "id long").count() == 4 and a.log("y", "id long").count() == 0
+
+
 def test_one_writer(spark, tmp_path):
     a = Snapshots(spark, str(tmp_path / "s"), timeout=0.3, poll=0.1)
     with a.lock(), pytest.raises(LockTimeout), Snapshots(spark, str(tmp_path / "s"), timeout=0.3, poll=0.1).lock():
