@@ -228,13 +228,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return left.join(right, ["b", "task"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, distance double, link boolean, added binary")
 
 
-def _crossing(met: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame, every: bool) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in two components and may be links; a pair of nulls if some block left pairs out.
+def _crossing(met: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a key, lie in two components and may be links, and whether they are spare.
 
     Keys with one component are done.  Documents of the others are dealt to blocks, and each pair of blocks is
     compared in one task: by sizes and distances from the head, then by registers, then by what both add to the
-    head; of the keys that a pair shares, the first alone counts.  Unless every one is asked for, a pair is
-    left out when pairs that look safer already tie its components; the caller asks again once these are confirmed or not.
+    head; of the keys that a pair shares, the first alone counts.  A pair is
+    spare when pairs that look safer already tie its components: it needs a look only if these prove to be no links.
     """
     placed = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("size > 2 and low < high")
@@ -281,8 +281,6 @@ def _crossing(met: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataF
             pairs.append((value[ok], np.full(ok.sum(), k), may[ok]))
         value, x, y = (np.concatenate([p[i] for p in pairs]) for i in range(3))
         a, b = np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
-        if every:
-            return pd.DataFrame({"a": a, "b": b}).astype("Int64")
         root: dict[int, int] = {}
 
         def top(c):
@@ -291,17 +289,16 @@ def _crossing(met: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataF
                 c = root[c]
             return c
 
-        keep = []
+        spare = np.ones(len(a), bool)
         for n in np.lexsort((b, a, -value)).tolist():
             c, d = top(part[x[n]]), top(part[y[n]])
             if c != d:
-                keep.append(n)
+                spare[n] = False
                 if value[n] >= NUMERATOR / DENOMINATOR:
                     root[c] = d
-        out = pd.DataFrame({"a": a[keep], "b": b[keep]}).astype("Int64")
-        return out if len(keep) == len(a) else pd.concat([out, pd.DataFrame({"a": [None], "b": [None]}, dtype="Int64")])
+        return pd.DataFrame({"a": a, "b": b, "spare": spare})
 
-    found = rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    found = rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, spare boolean").groupBy("a", "b").agg(F.min("spare").alias("spare"))
     both = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return found.join(both, ["a", "b"], "left_anti")
 
@@ -323,16 +320,18 @@ def link(docs: DataFrame) -> DataFrame:
     pairs = met.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     tested = written(_confirmed(written(_estimated(pairs, nodes)), docs))
     labels = written(components(tested.filter("link")))
-    for every in (False, True):
-        more = written(_crossing(met, nodes, labels, tested, every))
-        fresh = more.filter("a is not null")
-        if not fresh.isEmpty():
-            found = written(_confirmed(fresh, docs))
+    crossing = written(_crossing(met, nodes, labels, tested))
+    safest = crossing.filter("not spare").select("a", "b")
+    for pairs in (safest, None):
+        if pairs is None:  # spare pairs whose components are still apart
+            part = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+            spare = crossing.filter("spare").join(part("a"), "a", "left").join(part("b"), "b", "left")
+            pairs = written(spare.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+        if not pairs.isEmpty():
+            found = written(_confirmed(pairs, docs))
             tested = tested.unionByName(found)
             if not found.filter("link").isEmpty():
                 labels = written(components(tested.filter("link")))
-        if more.filter("a is null").isEmpty():
-            break
     placed = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(placed, "set_key", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
