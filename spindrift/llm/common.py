@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shared import drop_written, shared_folder, written
 from ..sources.tables import load
 
-__all__ = ["REMEMBERED", "WordMemory", "drop_written", "held_out", "load", "map_texts", "shared_folder", "slices", "written"]
+__all__ = ["REMEMBERED", "WordMemory", "drop_written", "held_out", "let_go", "load", "map_texts", "shared_folder", "slices", "written"]
 
 #: Words that a worker remembers, at most, unless told otherwise: some 100 MB.
 REMEMBERED = 500_000
+#: Rows of an Arrow batch, on its way to a worker and back, unless the session sets another number.
+BATCH = 1000
+#: Bytes of text, about, that a worker takes at a time; as words they take ten times as much.
+SLICE = 2_000_000
 #: Marks of words that came before (one byte each, shared by words of equal hash).
 MARKS = 1 << 22
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """malloc_trim of the C library, or nothing where it has none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda pad: 0
+
+
+def let_go() -> None:
+    """Give memory that is free back to the system: a worker lives on beside its executor's heap when its task is done."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH rows in this session: the usual 10,000 texts are held by the JVM, outside its heap, and by the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, BATCH)
+
+
 class WordMemory(dict):
     """Values of words over batches, within bounds: a word stays from the second batch on that holds it.
 
@@ -74,6 +102,7 @@ def map_texts(
     """
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     spark = docs.sparkSession
+    small_batches(spark)
     fields = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -84,7 +113,7 @@ def map_texts(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            # a few thousand very long texts of one batch are dealt in slices, so memory follows bytes and not rows
+            # very long texts of one batch are dealt in slices, so memory follows bytes and not rows
             for part in slices(batch):
                 ids = part.column(0).to_pylist()
                 texts = [t or "" for t in part.column(1).to_pylist()]
@@ -93,14 +122,15 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(
                     [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, f.type) for f in arrow], schema=arrow
                 )
+                del ids, texts, rest, out, v
             # the worker lives on with other tasks: what this batch took goes back
-            del batch, part, texts, out
-            pa.default_memory_pool().release_unused()
+            del batch, part
+            let_go()
 
     return frame.mapInArrow(run, fields)
 
 
-def slices(batch: pa.RecordBatch, most: int = 8_000_000):
+def slices(batch: pa.RecordBatch, most: int = SLICE):
     """Parts of a batch of about `most` bytes each (one row at least)."""
     rows = max(1, min(batch.num_rows, int(batch.num_rows * most / max(1, batch.nbytes))))
     for at in range(0, batch.num_rows, rows):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import let_go, map_texts, slices, written
 from .graph import components
 
 SHINGLE = 5
@@ -212,18 +212,22 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches):
         last, own = None, None
         for batch in batches:
-            distances, links, added = [], [], []
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for x, y in zip(a, b, strict=True):
-                if y != last:
-                    last, own = y, shingles(y or "")
-                other = shingles(x or "")
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                union = len(own) + len(other) - common
-                distances.append(1 - common / max(1, union))
-                added.append(np.setdiff1d(other, own, assume_unique=True).tobytes() if distances[-1] <= NEAR else None)
-                links.append(bool(common) and DENOMINATOR * common >= NUMERATOR * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distances), pa.array(links, pa.bool_()), pa.array(added, pa.binary())], names=["a", "b", "distance", "link", "added"])
+            for part in slices(batch):
+                distances, links, added = [], [], []
+                a, b = part.column(2).to_pylist(), part.column(3).to_pylist()
+                for x, y in zip(a, b, strict=True):
+                    if y != last:
+                        last, own = y, shingles(y or "")
+                    other = shingles(x or "")
+                    common = len(np.intersect1d(own, other, assume_unique=True))
+                    union = len(own) + len(other) - common
+                    distances.append(1 - common / max(1, union))
+                    added.append(np.setdiff1d(other, own, assume_unique=True).tobytes() if distances[-1] <= NEAR else None)
+                    links.append(bool(common) and DENOMINATOR * common >= NUMERATOR * union)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(distances, pa.float64()), pa.array(links, pa.bool_()), pa.array(added, pa.binary())], names=["a", "b", "distance", "link", "added"])
+                del a, b, added, part
+            del batch
+            let_go()
 
     return left.join(right, ["b", "task"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, distance double, link boolean, added binary")
 
@@ -296,6 +300,8 @@ def _crossing(met: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataF
                 spare[n] = False
                 if value[n] >= NUMERATOR / DENOMINATOR:
                     root[c] = d
+        del keys, regs, added, pairs
+        let_go()
         return pd.DataFrame({"a": a, "b": b, "spare": spare})
 
     found = rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, spare boolean").groupBy("a", "b").agg(F.min("spare").alias("spare"))

@@ -50,3 +50,20 @@ def test_held_out_is_crc32_of_the_text(spark):
 def test_written_tables_can_be_dropped(spark):
     df = common.written(spark.range(5))
     assert df.count() == 5
+
+
+def test_small_batches_leave_a_set_number_alone(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name) if name in spark.conf.getAll else None
+    try:
+        spark.conf.unset(name)
+        common.small_batches(spark)
+        assert spark.conf.get(name) == str(common.BATCH)
+        spark.conf.set(name, 77)
+        common.small_batches(spark)
+        assert spark.conf.get(name) == "77"
+    finally:
+        spark.conf.unset(name)
+        if was:
+            spark.conf.set(name, was)
+    common.let_go()
