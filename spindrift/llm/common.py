@@ -93,12 +93,13 @@ def map_texts(
     make: Callable[[], Callable[[list, list[str]], dict[str, object]]],
     schema: StructType | str,
     *keep: str,
+    most: int = SLICE,
 ) -> DataFrame:
     """Run a batch function over (doc_id, whole text) of docs; null texts arrive as "".
 
     make() runs once in each task and returns the batch function; that gets the
     ids and texts of a batch and returns columns.  Columns named in keep follow as
-    they are when the function returns them under their own name.
+    they are when the function returns them under their own name.  A batch has about `most` bytes.
     """
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     spark = docs.sparkSession
@@ -110,21 +111,16 @@ def map_texts(
 
     def run(batches):
         work = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # very long texts of one batch are dealt in slices, so memory follows bytes and not rows
-            for part in slices(batch):
-                ids = part.column(0).to_pylist()
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                rest = [part.column(i).to_pylist() for i in range(2, part.num_columns)]
-                out = work(ids, texts, *rest)
-                yield pa.RecordBatch.from_arrays(
-                    [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, f.type) for f in arrow], schema=arrow
-                )
-                del ids, texts, rest, out, v
+        for part in portions(batches, most):
+            ids = part.column(0).to_pylist()
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            rest = [part.column(i).to_pylist() for i in range(2, part.num_columns)]
+            out = work(ids, texts, *rest)
+            yield pa.RecordBatch.from_arrays(
+                [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, f.type) for f in arrow], schema=arrow
+            )
             # the worker lives on with other tasks: what this batch took goes back
-            del batch, part
+            del part, ids, texts, rest, out, v
             let_go()
 
     return frame.mapInArrow(run, fields)
@@ -135,3 +131,18 @@ def slices(batch: pa.RecordBatch, most: int = SLICE):
     rows = max(1, min(batch.num_rows, int(batch.num_rows * most / max(1, batch.nbytes))))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def portions(batches, most: int = SLICE):
+    """Batches joined and cut to about `most` bytes each (one row at least): memory follows bytes and not rows."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, most):
+            if held and size + part.nbytes > most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            if part.num_rows:
+                held.append(part)
+                size += part.nbytes
+    if held:
+        yield pa.concat_batches(held)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import REMEMBERED, WordMemory, map_texts
 
+#: Bytes of text that a worker cuts at a time: of words that come twice in them, one is merged.
+PORTION = 8_000_000
 #: The id that ends each document.
 END = 2
 
@@ -104,10 +106,10 @@ def lengths_of(n: int, longest: int) -> list[int]:
     return [longest] * whole + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, longest: int = 4096, with_ids: bool = True, remember: int = REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, longest: int = 4096, with_ids: bool = True, remember: int = REMEMBERED, portion: int = PORTION) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, and ids on request.
 
-    longest is a power of two; remember bounds the words that a worker keeps ids of (memory against speed).  bucket is log2 of the length: sequences of one bucket batch
+    longest is a power of two; remember bounds the words that a worker keeps ids of, portion the bytes of text it takes at a time (memory against speed).  bucket is log2 of the length: sequences of one bucket batch
     together without padding.  Each piece is one sequence at offset 0.  A null or empty text
     is the end id alone; repeated rows are packed each; an empty table packs to nothing;
     other columns are not read.  sequence_id is unique and, for one input layout, the
@@ -144,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 4096, with_ids: bool =
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     return (
-        map_texts(docs, make, schema)
+        map_texts(docs, make, schema, most=portion)
         .withColumn("sequence_id", F.monotonically_increasing_id())
         .withColumn("offset", F.lit(0).cast("long"))
         .withColumn("bucket", F.log2(F.col("length")).cast("int"))

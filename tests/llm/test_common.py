@@ -32,6 +32,13 @@ def test_slices_follow_bytes():
     assert [p.num_rows for p in common.slices(batch, 1)] == [1] * 50
 
 
+def test_portions_join_and_cut():
+    batch = lambda n: pa.RecordBatch.from_arrays([pa.array(["x" * 100] * n)], names=["t"])
+    parts = list(common.portions([batch(3), batch(0), batch(4), batch(50), batch(1)], 1100))
+    assert sum(p.num_rows for p in parts) == 58 and max(p.num_rows for p in parts) <= 11 and len(parts) <= 8
+    assert list(common.portions([])) == [] and [p.num_rows for p in common.portions([batch(2)], 1)] == [1, 1]
+
+
 def test_sieve_keeps_every_id(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SIEVE", 1 << 12)
     rows, ids = spark.range(20_000).withColumn("v", F.lit("x")), spark.range(0, 20_000, 100)
