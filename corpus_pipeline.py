@@ -18,7 +18,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Part of the tokens that mixing keeps, and the power that flattens the shares of sources, languages and topics.
 RATE, ALPHA = 0.8, 0.7
 #: Words that a packing worker keeps, fewer than alone: it shares its executor with what earlier stages left in the heap.
-REMEMBER = 150_000
+#: Bytes of text that it takes at a time, for the same reason.
+REMEMBER, PORTION = 150_000, 2_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length with their token ids, each a sequence of its own."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), longest=4096, remember=REMEMBER)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), longest=4096, remember=REMEMBER, portion=PORTION)
 
 
 STAGES = [
