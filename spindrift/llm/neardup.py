@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import let_go, map_texts, slices, written
-from .graph import components
+from .graph import components, merged
 
 SHINGLE = 5
 #: Registers (2**7), bits of mantissa, registers in a band.
@@ -325,7 +325,7 @@ def link(docs: DataFrame) -> DataFrame:
     met = _met(nodes)
     pairs = met.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     tested = written(_confirmed(written(_estimated(pairs, nodes)), docs))
-    labels = written(components(tested.filter("link")))
+    labels = components(tested.filter("link"))
     crossing = written(_crossing(met, nodes, labels, tested))
     safest = crossing.filter("not spare").select("a", "b")
     for pairs in (safest, None):
@@ -334,10 +334,9 @@ def link(docs: DataFrame) -> DataFrame:
             spare = crossing.filter("spare").join(part("a"), "a", "left").join(part("b"), "b", "left")
             pairs = written(spare.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
         if not pairs.isEmpty():
-            found = written(_confirmed(pairs, docs))
-            tested = tested.unionByName(found)
-            if not found.filter("link").isEmpty():
-                labels = written(components(tested.filter("link")))
+            found = written(_confirmed(pairs, docs).filter("link").select("a", "b"))
+            if not found.isEmpty():
+                labels = merged(labels, found)
     placed = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(placed, "set_key", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))

@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from spindrift.llm import neardup
-from spindrift.llm.graph import components
+from spindrift.llm import graph, neardup
+from spindrift.llm.graph import components, merged
+from spindrift.shared import written
 
 
 def exact(texts):
@@ -108,3 +109,58 @@ def test_components(spark, edges):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert {n: got.get(n, n) for n in nodes} == root
+
+
+def test_hubs_alone_are_dealt(spark, monkeypatch):
+    """What the dealing of edges makes follows the nodes: it made eight rows a node."""
+    monkeypatch.setattr(graph, "HUB", 20)
+    made = []
+    whole = graph._with
+
+    def counted(edges, least, hubs, how="inner"):
+        got = whole(edges, least, hubs, how)
+        plain = edges.join(least.select("u", "m"), "u", how)
+        assert sorted(map(str, got.select("u", "v", "m").collect())) == sorted(map(str, plain.select("u", "v", "m").collect()))
+        made.append((graph._dealt(least, hubs).count(), least.count(), hubs.count()))
+        return got
+
+    monkeypatch.setattr(graph, "_with", counted)
+    star = [(1, i) for i in range(2, 200)] + [(0, 1)]
+    edges = star + [(i, i + 1) for i in range(1000, 1400, 2)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 200)} | {i + 1: i for i in range(1000, 1400, 2)}
+    assert made and all(rows <= nodes + 2 * len(edges) / 20 for rows, nodes, _ in made) and all(n == 1 for *_, n in made[:1])
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars already are done: they took two rounds."""
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df: tables.append(1) or written(df))
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame([(3, i) for i in range(4, 40)] + [(50, 51)], "a long, b long")).collect()}
+    assert got == {i: 3 for i in range(4, 40)} | {51: 50} and len(tables) == 2
+
+
+@pytest.mark.parametrize("hub", [2, 1000])
+def test_merged_equals_all_edges(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
+    rng = random.Random(hub)
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    first = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(400, i) for i in range(401, 420)]
+    for more in ([(7, 7)], [(rng.randrange(600), rng.randrange(600)) for _ in range(60)] + [(5, 410), (5, 700), (411, 412)]):
+        known = components(frame(first))
+        got = sorted(tuple(r) for r in merged(known, frame(more)).select("node", "component").collect())
+        assert got == sorted(tuple(r) for r in components(frame(first + more)).select("node", "component").collect())
+
+
+def test_later_links_alone_are_closed(docs, monkeypatch):
+    """Passes after the first hand on what they found: they handed all links on, each pass again."""
+    handed = []
+    monkeypatch.setattr(neardup, "components", lambda links: handed.append(links.count()) or components(links))
+    monkeypatch.setattr(neardup, "merged", lambda labels, links: handed.append(links.count()) or merged(labels, links), raising=False)
+    rng, texts = random.Random(4), []
+    for f in range(8):  # copies about as like each other as the threshold, so that many don't link with the head
+        base = [f"f{f}w{i}" for i in range(200)]
+        texts += [" ".join(f"x{rng.random()}" if rng.random() < 0.024 else w for w in base) for _ in range(30)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.link(docs(*texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in exact(texts)]
+    assert len(handed) > 1 and sum(handed[1:]) < handed[0]
