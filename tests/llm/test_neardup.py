@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from spindrift.llm import graph, neardup
 from spindrift.llm.graph import components, merged
 from spindrift.shared import written
@@ -164,3 +165,17 @@ def test_later_links_alone_are_closed(docs, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in neardup.link(docs(*texts)).collect()}
     assert [got[i] for i in range(len(texts))] == [c for _, c in exact(texts)]
     assert len(handed) > 1 and sum(handed[1:]) < handed[0]
+
+
+def test_pipeline_stage_deals_a_row_a_node(docs, spark, monkeypatch):
+    """The pipeline's stage makes, over all rounds and passes, fewer rows for dealing than one round used to (eight a node)."""
+    made = []
+    whole = graph._dealt
+    monkeypatch.setattr(graph, "_dealt", lambda least, hubs: made.append(whole(least, hubs).count()) or whole(least, hubs))
+    rng, texts = random.Random(4), []
+    for f in range(8):
+        base = [f"f{f}w{i}" for i in range(200)]
+        texts += [" ".join(f"x{rng.random()}" if rng.random() < 0.024 else w for w in base) for _ in range(30)]
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs(*texts), "").select("doc_id").collect())
+    assert got == sorted({c for _, c in exact(texts)})
+    assert made and sum(made) < 8 * len(texts)
