@@ -134,7 +134,7 @@ def test_hubs_alone_are_dealt(spark, monkeypatch):
 
 
 def test_stars_take_no_round(spark, monkeypatch):
-    """Edges that are stars already are done: they took two rounds."""
+    """Edges that are stars already are done: they took a round."""
     tables = []
     monkeypatch.setattr(graph, "written", lambda df: tables.append(1) or written(df))
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame([(3, i) for i in range(4, 40)] + [(50, 51)], "a long, b long")).collect()}
